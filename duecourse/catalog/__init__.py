@@ -4,7 +4,7 @@ from importlib import import_module
 
 from duecourse.catalog import core
 
-MODULES = ("base",)
+MODULES = ("base", "money", "quality")
 
 
 def _load() -> None:

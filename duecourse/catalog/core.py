@@ -14,6 +14,7 @@ from duecourse.operators import clean as C
 from duecourse.operators import economics
 from duecourse.plans import standin
 from duecourse.registry import EVENT_DATE, KEY, SCORE, STANDIN
+from duecourse.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +73,13 @@ class Inputs:
         return economics.with_exposure(typed).withColumn(SCORE, standin.standin_score())
 
 
+    @cached_property
+    def kept_scores(self) -> DataFrame:
+        """The scored rows as a written table, for queries that read them more than once."""
+        columns = (KEY, EVENT_DATE, "y", SCORE, economics.FUNDED, economics.INTEREST)
+        return stored(self.scored.select(*columns, "int_rate", "installment", "funded_amnt"), "scores")
+
+
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[Inputs], DataFrame]):
         if name in QUERIES:

@@ -73,6 +73,40 @@ def cost_model_rates(df: DataFrame, term_months: int = 36, keys: tuple[str, ...]
     )
 
 
+def _loan_ratios(term_months: int) -> tuple[Column, Column]:
+    """Loss share of a bad loan and interest share of a good one, per loan."""
+    kept = F.col("total_rec_prncp") + F.col("recoveries") - F.col("collection_recovery_fee")
+    lgd = F.when(F.col(LABEL) == 1, 1 - F.try_divide(kept, F.col("funded_amnt")))
+    interest = contract_interest(term_months)
+    return lgd, F.when(F.col(LABEL) == 0, F.try_divide(F.col("total_rec_int"), interest))
+
+
+def break_even(df: DataFrame, term_months: int = 36) -> DataFrame:
+    """Score at which an average loan is neither worth approving nor rejecting."""
+    lgd, haircut = _loan_ratios(term_months)
+    means = df.agg(
+        (F.avg(lgd) * F.avg("funded_amnt")).alias("loss"),
+        (F.avg(haircut) * F.avg(contract_interest(term_months))).alias("profit"),
+    )
+    loss, profit = F.col("loss"), F.col("profit")
+    return means.select(
+        F.round(loss, 2).alias("mean_loss"),
+        F.round(profit, 2).alias("mean_profit"),
+        F.round(F.try_divide(profit, loss + profit), 6).alias("break_even"),
+    )
+
+
+def loan_ratio_centres(df: DataFrame, term_months: int = 36) -> DataFrame:
+    """Mean and exact median of the two per-loan ratios."""
+    lgd, haircut = _loan_ratios(term_months)
+    long = df.select(lgd.alias("lgd"), haircut.alias("haircut")).unpivot(
+        [], ["lgd", "haircut"], "ratio", "value"
+    )
+    means = long.groupBy("ratio").agg(F.round(F.avg("value"), 6).alias("mean"))
+    medians = ordering.percentiles(long, "value", "ratio", [0.5])
+    return means.join(medians, "ratio").select("ratio", "mean", F.round("p0", 6).alias("median"))
+
+
 def estimate(df: DataFrame, term_months: int = 36) -> Economics:
     rates = cost_model_rates(df, term_months).first()
     return Economics(rates["lgd"], rates["haircut"], term_months)
@@ -99,54 +133,43 @@ def cost_curve(
     A row is counted under the number of grid points at or below its score; the curve is then a
     pair of running sums over at most ``len(grid) + 1`` rows.
     """
-    bucket = ordering.count_up_to(F.array(*map(F.lit, grid)), F.col(SCORE), len(grid))
-    counted = (
-        df.groupBy(*keys, bucket.alias("bucket"))
-        .agg(
-            F.count("*").alias("loans"),
-            F.sum(F.when(F.col(LABEL) == 1, F.col(FUNDED)).otherwise(0)).alias("bad"),
-            F.sum(F.when(F.col(LABEL) == 0, F.col(INTEREST)).otherwise(0)).alias("good"),
-        )
+    points = ordering.literal_array(grid)
+    bucket = ordering.count_up_to(points, F.col(SCORE), len(grid))
+    counted = df.groupBy(*keys, bucket.alias("bucket")).agg(
+        F.count("*").alias("loans"),
+        F.sum(F.when(F.col(LABEL) == 1, F.col(FUNDED)).otherwise(0)).alias("bad"),
+        F.sum(F.when(F.col(LABEL) == 0, F.col(INTEREST)).otherwise(0)).alias("good"),
     )
-    # Every threshold must appear, also where no score lies: each row covers the grid points from
-    # its own bucket up to the next one present, and the lowest row those before it.
     order = W.partitionBy(*keys).orderBy("bucket")
     upto = order.rowsBetween(W.unboundedPreceding, 0)
     everything = W.partitionBy(*keys)
-    last = F.coalesce(F.lead("bucket").over(order), F.lit(len(grid)))
+    # Threshold number i (from 0) rejects the buckets above i. A bucket answers for the numbers
+    # from its own up to the next bucket present, the lowest one also for those before it.
+    following = F.coalesce(F.lead("bucket").over(order), F.lit(len(grid)))
+    first = F.when(F.row_number().over(order) == 1, 0).otherwise(F.col("bucket"))
     sums = counted.select(
         *keys,
-        F.col("bucket"),
-        last.alias("next_bucket"),
-        (F.row_number().over(order) == 1).alias("lowest"),
-        F.sum("bad").over(upto).alias("bad_below"),
-        (F.sum("good").over(everything) - F.sum("good").over(upto)).alias("good_above"),
-        (F.sum("loans").over(everything) - F.sum("loans").over(upto)).alias("loans_above"),
+        "bucket",
+        first.alias("first"),
+        following.alias("following"),
+        F.sum("bad").over(upto).alias("bad_upto"),
+        F.sum("good").over(upto).alias("good_upto"),
+        F.sum("loans").over(upto).alias("loans_upto"),
         F.sum("good").over(everything).alias("good_all"),
         F.sum("loans").over(everything).alias("loans_all"),
-    )
-    # Threshold number t (from 0) rejects the rows with bucket > t.
-    points = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(grid)))
-    own = sums.select(
-        *keys, "bad_below", "good_above", "loans_above", "loans_all",
-        F.explode(
-            F.filter(points, lambda p: (p["i"] >= F.col("bucket")) & (p["i"] < F.col("next_bucket")))
-        ).alias("point"),
-    )
-    before = sums.filter("lowest").select(
-        *keys,
-        F.lit(0).cast("bigint").alias("bad_below"),
-        F.col("good_all").alias("good_above"),
-        F.col("loans_all").alias("loans_above"),
-        "loans_all",
-        F.explode(F.filter(points, lambda p: p["i"] < F.col("bucket"))).alias("point"),
-    )
-    cost = F.lit(economics.lgd) * F.col("bad_below") + F.lit(economics.haircut) * F.col("good_above")
-    return own.unionByName(before).select(
+    ).filter(F.col("first") < F.col("following"))
+    at = sums.withColumn("i", F.explode(F.sequence("first", F.col("following") - 1)))
+
+    def approved(total: str) -> Column:
+        return F.when(F.col("i") < F.col("bucket"), 0).otherwise(F.col(total))
+
+    lost = F.lit(economics.lgd) * approved("bad_upto")
+    forgone = F.lit(economics.haircut) * (F.col("good_all") - approved("good_upto"))
+    return at.select(
         *keys,
-        F.col("point.t").alias("threshold"),
-        (cost / 100).alias("cost"),
-        (F.col("loans_above") / F.col("loans_all")).alias("reject_rate"),
+        F.get(points, F.col("i")).alias("threshold"),
+        ((lost + forgone) / 100).alias("cost"),
+        ((F.col("loans_all") - approved("loans_upto")) / F.col("loans_all")).alias("reject_rate"),
     )
 
 
@@ -169,7 +192,7 @@ def policy_summary(
     single aggregated row.
     """
     y = F.col(LABEL)
-    measures = [decision_cost(F.lit(False), economics).alias("approve_all")]
+    measures = [decision_cost(F.lit(False), economics).alias("base_cost")]
     for name, reject in policies.items():
         rejected = reject.cast("int")
         measures += [
@@ -181,11 +204,11 @@ def policy_summary(
                 F.avg(F.when(y == 0, rejected)).alias("good_loans_rejected"),
             ).alias(name)
         ]
-    cost, base = F.col("rule.cost"), F.col("approve_all")
+    cost, base = F.col("rule.cost"), F.col("base_cost")
     return (
         df.groupBy(*keys)
         .agg(*measures)
-        .select(*keys, "approve_all", F.explode(F.array(*policies)).alias("rule"))
+        .select(*keys, "base_cost", F.explode(F.array(*policies)).alias("rule"))
         .select(
             *keys,
             "rule.policy",

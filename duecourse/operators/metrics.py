@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from duecourse.operators import ordering
 from duecourse.registry import KEY, LABEL, SCORE
+from duecourse.session import stored
 
 EVERYTHING = "all_rows"
 
@@ -100,12 +101,13 @@ def probability_metrics(df: DataFrame, key: str | None = None, digits: int = 5)
 
 def rank_correlation(df: DataFrame, left: str, right: str) -> DataFrame:
     """Spearman correlation: Pearson on average ranks, rows with a missing side left out."""
-    pairs = (
+    counted = (
         df.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
         .groupBy(left, right)
         .agg(F.count("*").alias("pairs"))
         .withColumn(EVERYTHING, F.lit("all"))
     )
+    pairs = stored(counted, "pairs")
 
     def ranks(value: str, name: str) -> DataFrame:
         weighted = pairs.groupBy(EVERYTHING, value).agg(F.sum("pairs").alias("n"))

@@ -1,9 +1,10 @@
 """Ranks, running totals and quantiles over a total order, without sorting in one task.
 
 A bare ``Window.orderBy`` moves every row to one task. Here rows are first counted per distinct
-value (so a value shared by a third of the table becomes one row), the distinct values are cut
-into ranges of about equal size by a quantile sketch, and each range is ordered on its own. Range
-totals, at most one row per range and key, carry the running totals across ranges.
+value (so a value shared by a third of the table becomes one row) and that table is stored, since
+the later steps all read it. The distinct values are cut into ranges of about equal size by a
+quantile sketch, and each range is ordered on its own. Range totals, at most one row per range and
+key, carry the running totals across ranges.
 
 ``key`` names a text column with few values (a column name, a model version) whose groups are
 ordered independently of each other.
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from duecourse.session import stored
+
 HEAVY_SHARE = 256
 
 
@@ -25,28 +28,35 @@ def range_count(df: DataFrame) -> int:
     return max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def position(edges: Column, below, steps: int) -> Column:
-    """How many leading elements of a sorted array satisfy ``below``; binary search."""
-    halves = [1 << i for i in reversed(range(max(1, steps).bit_length()))]
+def literal_array(values) -> Column:
+    """A constant array of doubles as one literal."""
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
 
-    def advance(found: Column, half: Column) -> Column:
-        return F.when(below(F.get(edges, found + half - 1)), found + half).otherwise(found)
 
-    return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), advance)
+def count_up_to(edges: Column, value: Column, size: int) -> Column:
+    """How many elements of a constant sorted array are <= value; binary search."""
+
+    def advance(found: Column, half: Column) -> Column:
+        hit = F.get(edges, found + half - 1) <= value
+        return F.when(hit, found + half).otherwise(found)
 
+    return F.aggregate(F.array(*map(F.lit, _halves(size))), F.lit(0), advance)
 
-def count_below(edges: Column, value: Column, steps: int) -> Column:
-    return position(edges, lambda edge: edge < value, steps)
 
+def with_count_below(df: DataFrame, name: str, edges: Column, value: str, size: int) -> DataFrame:
+    """Add how many elements of ``edges`` are < value.
 
-def count_up_to(edges: Column, value: Column, steps: int) -> Column:
-    return position(edges, lambda edge: edge <= value, steps)
+    One projection per step of the binary search, so that all of it stays in generated code.
+    """
+    df = df.withColumn(name, F.lit(0))
+    for half in _halves(size):
+        hit = F.get(edges, F.col(name) + (half - 1)) < F.col(value)
+        df = df.withColumn(name, F.col(name) + F.when(hit, half).otherwise(0))
+    return df
 
 
-def as_map(per_key: DataFrame, key: str, value: str) -> Column:
-    """A few rows as one map literal, evaluated once before the main plan runs."""
-    pairs = F.collect_list(F.struct(F.col(key), F.col(value)))
-    return per_key.agg(F.map_from_entries(pairs)).scalar()
+def _halves(size: int) -> list[int]:
+    return [1 << i for i in reversed(range(max(1, size).bit_length()))]
 
 
 def distinct_values(df: DataFrame, value: str, key: str, **measures: Column) -> DataFrame:
@@ -64,16 +74,16 @@ def running_totals(values: DataFrame, value: str, key: str, measures: list[str])
 
     ``values`` must hold one row per key and value.
     """
+    values = stored(values, "values")
     ranges = range_count(values)
     shares = [i / ranges for i in range(1, ranges)]
-    edges = as_map(
-        values.groupBy(key).agg(F.percentile_approx(value, shares, 10 * ranges).alias("edges")),
-        key,
-        "edges",
-    )
-    ranged = values.withColumn(
-        "range_no", count_below(F.element_at(edges, F.col(key)), F.col(value), ranges)
+    edges = values.groupBy(key).agg(
+        F.percentile_approx(value, shares, 10 * ranges).alias("edges")
     )
+    # One array of at most `ranges` numbers per key, so the broadcast cannot grow with the data.
+    ranged = with_count_below(
+        values.join(F.broadcast(edges), key), "range_no", F.col("edges"), value, ranges
+    ).drop("edges")
     across = W.partitionBy(key)
     earlier = across.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -89,7 +99,7 @@ def running_totals(values: DataFrame, value: str, key: str, measures: list[str])
     inside = (
         W.partitionBy(key, "range_no").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     )
-    # At most `ranges` rows per key, so the broadcast cannot grow with the data.
+    # Again at most `ranges` rows per key.
     joined = ranged.join(F.broadcast(offsets), [key, "range_no"])
     return joined.withColumns(
         {
@@ -116,15 +126,13 @@ def order_statistics(
     into ranges, so one very common value does not end up in one task.
     """
     ranked = running_totals(distinct_values(df, value, key), value, key, ["n"])
-    slots = F.array(
-        *(F.struct(F.lit(i).alias("slot"), p.alias("place")) for i, p in enumerate(places))
-    )
-    held = F.filter(
-        slots,
-        lambda s: (s["place"] > F.col("before_n")) & (s["place"] <= F.col("before_n") + F.col("n")),
-    )
+
+    def held(slot: int, place: Column) -> Column:
+        here = (place > F.col("before_n")) & (place <= F.col("before_n") + F.col("n"))
+        return F.when(here, F.struct(F.lit(slot).alias("slot"), place.alias("place")))
+
     wanted = (
-        ranked.withColumn("held", held)
+        ranked.withColumn("held", F.array_compact(F.array(*map(held, range(len(places)), places))))
         .filter(F.size("held") > 0)
         .select(key, value, F.col("before_n").alias("smaller"), F.explode("held").alias("hit"))
         .select(
@@ -194,17 +202,22 @@ def assign_bins(
     group = key or "all_rows"
     n = F.col("total_n")
     ends = [F.floor((b + 1) * (n - 1) / bins).cast("bigint") + 1 for b in range(bins - 1)]
+    # One array of bins - 1 cut points per key.
     cuts = (
         order_statistics(frame, value, tie, group, ends)
         .groupBy(group)
         .agg(F.sort_array(F.collect_list(F.struct(F.col(value), F.col(tie)))).alias("cuts"))
     )
-    cut = F.element_at(as_map(cuts, group, "cuts"), F.col(group))
-    passed = F.filter(
-        cut,
-        lambda c: (c[value] < F.col(value)) | ((c[value] == F.col(value)) & (c[tie] < F.col(tie))),
+    row = F.struct(F.col(value), F.col(tie))
+    passed = (
+        F.coalesce((F.get("cuts", F.lit(b)) < row).cast("int"), F.lit(0)) for b in range(bins - 1)
+    )
+    binned = (
+        frame.filter(F.col(value).isNotNull())
+        .join(F.broadcast(cuts), group, "left")
+        .withColumn("bin", sum(passed, F.lit(0)))
+        .drop("cuts")
     )
-    binned = frame.filter(F.col(value).isNotNull()).withColumn("bin", F.size(passed))
     return binned if key else binned.drop("all_rows")
 
 
@@ -213,35 +226,40 @@ def first_by_hash(
 ) -> DataFrame:
     """A repeatable sample: the ``limit`` rows (of each group) with the smallest hash of the key.
 
-    Rows are counted per leading hash digits first. Everything in slices below the limit is
-    kept as it is; only the one slice in which the limit falls is ordered, so neither a group
-    holding a third of the table nor a large limit puts many rows into one task.
+    Rows are counted per leading hash digits first, which tells the slice in which the limit
+    falls. Only rows up to that slice are shuffled, by slice, so neither a group holding a third
+    of the table nor a large limit puts many rows into one task. Groups are months (or one group
+    for all rows), which is why the table of cut-offs is small.
     """
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
-    marked = df.withColumn("hash", digest).withColumn("slice", F.substring("hash", 1, 5))
-    marked = marked.withColumn("sample_group", F.col(group) if group else F.lit(0))
+    marked = df.withColumns({"hash": digest, "sample_group": F.col(group) if group else F.lit(0)})
+    marked = marked.withColumn("slice", F.substring("hash", 1, 5))
     slices = marked.groupBy("sample_group", "slice").agg(F.count("*").alias("n"))
     before = (
         W.partitionBy("sample_group").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     )
-    start = F.coalesce(F.sum("n").over(before), F.lit(0))
     cutoff = (
-        slices.withColumn("start", start)
+        slices.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .filter((F.col("start") < limit) & (F.col("start") + F.col("n") >= limit))
-        .select("sample_group", F.col("slice").alias("last_slice"), (limit - F.col("start")).alias("rest"))
+        .select(
+            "sample_group",
+            F.col("slice").alias("last_slice"),
+            (limit - F.col("start")).alias("rest"),
+        )
     )
-    # One row per group; groups are months (or one for all), so the broadcast stays small.
-    placed = marked.join(F.broadcast(cutoff), "sample_group", "left")
-    extra = ["hash", "slice", "last_slice", "rest", "sample_group"]
-    whole = placed.filter(F.col("last_slice").isNull() | (F.col("slice") < F.col("last_slice")))
-    order = W.partitionBy("sample_group").orderBy("hash", key)
-    partly = (
-        placed.filter(F.col("slice") == F.col("last_slice"))
+    order = W.partitionBy("sample_group", "slice").orderBy("hash", key)
+    small_group = F.col("last_slice").isNull()
+    return (
+        marked.join(F.broadcast(cutoff), "sample_group", "left")
+        .filter(small_group | (F.col("slice") <= F.col("last_slice")))
         .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= F.col("rest"))
-        .drop("place")
+        .filter(
+            small_group
+            | (F.col("slice") < F.col("last_slice"))
+            | (F.col("place") <= F.col("rest"))
+        )
+        .drop("hash", "slice", "last_slice", "rest", "sample_group", "place")
     )
-    return whole.unionByName(partly).drop(*extra)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -28,10 +28,11 @@ def local_session(cpus: int | str | None = None) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach. Only a session without one (a test) gets a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="duecourse-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="duecourse-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

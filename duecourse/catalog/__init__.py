@@ -4,7 +4,7 @@ from importlib import import_module
 
 from duecourse.catalog import core
 
-MODULES = ("base", "money", "quality")
+MODULES = ("base", "money", "quality", "checks")
 
 
 def _load() -> None:

@@ -43,16 +43,20 @@ def count_up_to(edges: Column, value: Column, size: int) -> Column:
     return F.aggregate(F.array(*map(F.lit, _halves(size))), F.lit(0), advance)
 
 
-def with_count_below(df: DataFrame, name: str, edges: Column, value: str, size: int) -> DataFrame:
+def with_count_below(df: DataFrame, name: str, edges: str, value: str, size: int) -> DataFrame:
     """Add how many elements of ``edges`` are < value.
 
-    One projection per step of the binary search, so that all of it stays in generated code.
+    Each step of the binary search is an alias that the next one refers to, so all of it stays in
+    generated code and the array is never copied per row, as it would be with a lambda.
     """
-    df = df.withColumn(name, F.lit(0))
+    steps, found = [], "0"
     for half in _halves(size):
-        hit = F.get(edges, F.col(name) + (half - 1)) < F.col(value)
-        df = df.withColumn(name, F.col(name) + F.when(hit, half).otherwise(0))
-    return df
+        step = f"{name}_{half}"
+        edge = f"get({edges}, {found} + {half - 1})"
+        steps.append(F.expr(f"{found} + if({edge} < {value}, {half}, 0) AS {step}"))
+        found = step
+    kept = [F.col(c) for c in df.columns if c != edges]
+    return df.select("*", *steps).select(*kept, F.col(found).alias(name))
 
 
 def _halves(size: int) -> list[int]:
@@ -82,8 +86,8 @@ def running_totals(values: DataFrame, value: str, key: str, measures: list[str])
     )
     # One array of at most `ranges` numbers per key, so the broadcast cannot grow with the data.
     ranged = with_count_below(
-        values.join(F.broadcast(edges), key), "range_no", F.col("edges"), value, ranges
-    ).drop("edges")
+        values.join(F.broadcast(edges), key), "range_no", "edges", value, ranges
+    )
     across = W.partitionBy(key)
     earlier = across.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

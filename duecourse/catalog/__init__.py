@@ -4,7 +4,7 @@ from importlib import import_module
 
 from duecourse.catalog import core
 
-MODULES = ("base", "money", "quality", "checks")
+MODULES = ("base", "money", "quality", "checks", "profiles")
 
 
 def _load() -> None:

@@ -167,28 +167,31 @@ _NEEDS = {
     "loans_raw": [],
     "raw_mixed": ["loans_raw"],
     "typed": ["loans_raw"],
-    "population": ["loans_raw", "typed"],
-    "loans": ["loans_raw", "typed", "population"],
-    "aux": ["loans_raw", "typed", "population"],
-    "replay": ["loans_raw", "typed"],
-    "scored": ["loans_raw", "typed", "population"],
+    "population": ["typed"],
+    "loans": ["population"],
+    "aux": ["population"],
+    "replay": ["typed"],
+    "scored": ["population"],
 }
 
 
 def add_view(name: str, sql: str, needs: list[str]) -> None:
     """A further named step for SQL texts."""
+    VIEWS[name], _NEEDS[name] = sql, needs
+
+
+def _chain(names: list[str]) -> list[str]:
+    """The names and all they need, each after what it needs."""
     chain: list[str] = []
-    for needed in needs:
-        chain += [n for n in (*_NEEDS[needed], needed) if n not in chain]
-    VIEWS[name], _NEEDS[name] = sql, chain
+    for name in names:
+        chain += [n for n in (*_chain(_NEEDS[name]), name) if n not in chain]
+    return chain
 
 
 def with_views(sql: str) -> str:
     """Prefix the SQL with the steps it mentions as ``{name}``."""
     used = [name for name in VIEWS if "{" + name + "}" in sql]
-    chain: list[str] = []
-    for name in used:
-        chain += [n for n in (*_NEEDS[name], name) if n not in chain]
+    chain = _chain(used)
     for name in used:
         sql = sql.replace("{" + name + "}", name)
     if not chain:

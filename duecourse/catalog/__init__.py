@@ -4,7 +4,7 @@ from importlib import import_module
 
 from duecourse.catalog import core
 
-MODULES = ("base", "money", "quality", "checks", "profiles", "monitor", "files")
+MODULES = ("base", "money", "quality", "checks", "profiles", "monitor", "files", "models")
 
 
 def _load() -> None:

@@ -219,17 +219,11 @@ def t3(t):
 @query(
     "x9_replayed_decisions",
     f"""SELECT CASE WHEN policy_flags <> '' THEN 'refer' WHEN {STREAM_SCORE} >= {CUT} THEN 'reject' ELSE 'approve' END AS decision, count(*) AS n
-        FROM {{served}} WHERE issue_d >= DATE '2001-05-01' GROUP BY 1""",
+        FROM {{served}} GROUP BY 1""",
 )
 def x9(t):
-    """The last months of the replay window, sent month after month."""
-    requests, log, progress = fresh(t, "requests"), fresh(t, "log"), fresh(t, "progress")
-    t.spark.range(0).select(F.lit("").alias("value")).write.text(requests)  # the stream needs a folder
-
-    def send(_folder):
-        read = stream.request_stream(t.spark, requests, STANDIN)
-        stream.score_to_log(read, decide, STANDIN, log, progress).awaitTermination()
-
-    late = t.replay.filter("issue_d >= DATE '2001-05-01'")
-    stream.replay_by_month(late, STANDIN, requests, send)
+    requests, log = fresh(t, "requests"), fresh(t, "log")
+    stream.write_requests_by_month(t.replay, STANDIN, requests)
+    read = stream.request_stream(t.spark, requests, STANDIN)
+    stream.score_to_log(read, decide, STANDIN, log, fresh(t, "progress")).awaitTermination()
     return logs.raw_log(t.spark, log).groupBy("decision").agg(F.count("*").alias("n"))

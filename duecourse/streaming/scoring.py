@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from duecourse.operators import drift, scoring
 from duecourse.operators import requests as R
 from duecourse.registry import EVENT_DATE, Registry
+from duecourse.session import stored
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -108,25 +109,19 @@ def live_decision_rates(served: DataFrame, name: str, checkpoint: str) -> Stream
     )
 
 
-def replay_by_month(
-    loans: DataFrame,
-    registry: Registry,
-    path: str,
-    send: Callable[[str], None],
-    chunk: int = 500,
+def write_requests_by_month(
+    loans: DataFrame, registry: Registry, path: str, chunk: int = 500
 ) -> list[str]:
-    """Write loans as request files, month after month, calling ``send`` after each month.
+    """Write loans as request files, month after month, and return the months.
 
-    The loop runs over months only; each month is written by many tasks.
+    A file stream takes files in the order in which they were written, so it replays the months in
+    order. The loans are stored by month once; the loop then reads only the month it writes.
     """
-    months = [r["month"] for r in loans.select(F.trunc(EVENT_DATE, "MM").alias("month")).distinct().collect()]
-    sent = []
-    for month in sorted(months):
-        bodies = loans.filter(F.trunc(EVENT_DATE, "MM") == F.lit(month)).select(
-            R.request_json(registry)
-        )
-        folder = f"{path}/{month:%Y-%m}"
-        bodies.write.option("maxRecordsPerFile", chunk).text(folder)
-        send(folder)
-        sent.append(f"{month:%Y-%m}")
-    return sent
+    month = F.date_format(EVENT_DATE, "yyyy-MM")
+    body = loans.select(month.alias("month"), R.request_json(registry).alias("body"))
+    by_month = stored(body, "replay", ("month",))
+    months = sorted(r["month"] for r in by_month.select("month").distinct().collect())
+    for name in months:
+        rows = by_month.filter(F.col("month") == name).select("body")
+        rows.write.option("maxRecordsPerFile", chunk).text(f"{path}/{name}")
+    return months

@@ -18,7 +18,6 @@ HEADLINE = (
     "d9_monthly_summary",
     "n6_first_available",
     "k_full_report",
-    "x1_scored_applications",
 )
 
 

@@ -14,7 +14,7 @@ from duecourse.operators import clean as C
 from duecourse.operators import economics
 from duecourse.plans import standin
 from duecourse.registry import EVENT_DATE, KEY, SCORE, STANDIN
-from duecourse.session import stored
+from duecourse.session import stored, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ class Inputs:
     """The frames most queries start from; all lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tuned(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

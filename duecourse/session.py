@@ -9,6 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The JVM does not compile methods above 8000 bytes. Parsing a wide table in one generated method
+# exceeds that and runs many times slower than Spark's smaller per-operator code.
+HUGE_METHOD = "8000"
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Set what wide projections need, unless the session has its own value."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name) == "65535":
+        spark.conf.set(name, HUGE_METHOD)
+    return spark
+
+
 def local_session(cpus: int | str | None = None) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -16,8 +29,11 @@ def local_session(cpus: int | str | None = None) -> SparkSession:
         .appName("duecourse")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # As many shuffle partitions as cores: merging them would leave cores idle.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

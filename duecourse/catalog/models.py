@@ -1,11 +1,11 @@
 """Fitted-model queries. Spark ML has no SQL twin, so most are checked by their rows only."""
 
-from functools import lru_cache
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from duecourse.catalog.core import PRICES, SETTINGS, add_view, query, sql_between, sql_date
+from duecourse.catalog.core import SETTINGS, add_view, query, sql_between
 from duecourse.config import TreeSettings, windows_for
 from duecourse.operators import economics as E
 from duecourse.operators import metrics as M

@@ -138,13 +138,12 @@ def quantile_bands(df: DataFrame, column: str, count: int) -> DataFrame:
     """Add ``band``: equal-share bands from exact interpolated quantiles, lowest edge included."""
     named = df.select(F.lit(column).alias("column"), column)
     shares = [i / count for i in range(1, count)]
-    # One row of count - 1 edges.
-    edges = F.broadcast(ordering.percentiles(named, column, "column", shares).drop("column"))
+    found = ordering.percentiles(named, column, "column", shares)
+    edges = found.select(F.array(*(f"p{i}" for i in range(count - 1)))).scalar()
     passed = sum(
-        ((F.col(f"p{i}") < F.col(column)).cast("int") for i in range(count - 1)), F.lit(0)
+        ((F.get(edges, F.lit(i)) < F.col(column)).cast("int") for i in range(count - 1)), F.lit(0)
     )
-    names = [f"p{i}" for i in range(count - 1)]
-    return df.join(edges, F.lit(True), "left").withColumn("band", passed).drop(*names)
+    return df.withColumn("band", passed)
 
 
 def rate_by(df: DataFrame, group: str, label: str, digits: int = 6) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 # The JVM does not compile methods above 8000 bytes. Parsing a wide table in one generated method
 # exceeds that and runs many times slower than Spark's smaller per-operator code.
 HUGE_METHOD = "8000"
+# Folders made for one-process sessions, by application; removed at exit.
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -43,13 +48,22 @@ def local_session(cpus: int | str | None = None) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach. Only a session without one (a test) gets a local one."""
+    """The folder all executors can reach, as the session names it in ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process on this machine gets a folder of its own when it has
+    none; on a cluster such a folder would be another one on each machine, so that is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="duecourse-"))
-        folder = context.getCheckpointDir()
-    return folder
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    key = context.applicationId
+    if key not in _OWN_FOLDERS:
+        _OWN_FOLDERS[key] = tempfile.mkdtemp(prefix="duecourse-")
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[key], ignore_errors=True)
+    return _OWN_FOLDERS[key]
 
 
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

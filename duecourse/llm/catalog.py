@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecourse.llm import mixing
+from duecourse.llm import jaccard_join, mixing
 from duecourse.llm.common import table
 
 
@@ -19,10 +19,40 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+    return groups.select(
+        F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+    )
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (
+  SELECT doc_id, unnest(CASE WHEN len(v) >= 5
+           THEN list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' '))
+           WHEN len(v) > 0 THEN [array_to_string(v, ' ')] ELSE [] END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (shingle)
+      WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+      WHERE 100 * k >= 75 * (a.n + b.n - k)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
+}
+ORACLES: dict[str, str] = {
+    "op10_jaccard_join": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecourse.llm import jaccard_join, mixing
+from duecourse.llm import decontamination, jaccard_join, line_dedup, mixing
 from duecourse.llm.common import table
 
 
@@ -46,11 +46,74 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.y, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id"""
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.when(~F.col("doc.unknown"), F.col("doc.key")).alias("doc_id"), "item_id",
+        F.col("start").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), "similarity",
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs, removed="n_removed")
+
+
+_FOLDED = """translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+_WORDS = r"""'[^\x20\x09-\x0D]+'"""
+
+OP2_SQL = f"""
+WITH i AS (SELECT item_id, regexp_extract_all({_FOLDED}, {_WORDS}) AS w FROM benchmark),
+ib AS (SELECT item_id, len(w) AS n, p, array_to_string(w[p + 1:p + 5], ' ') AS s
+       FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM i WHERE len(w) >= 5)),
+d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_WORDS}) AS w FROM documents),
+ds AS (SELECT doc_id, len(w) AS words, p, array_to_string(w[p + 1:p + 5], ' ') AS s
+       FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
+wn AS (SELECT DISTINCT doc_id, ib.n, greatest(0, least(ds.p - ib.p, words - ib.n)) AS start
+       FROM ds JOIN ib USING (s)),
+wb AS (SELECT doc_id, n, start, s, count(*) AS k FROM wn JOIN ds USING (doc_id)
+       WHERE ds.p >= start AND ds.p <= start + n - 5 GROUP BY ALL),
+ic AS (SELECT item_id, n, s, count(*) AS k FROM ib GROUP BY ALL),
+wl AS (SELECT doc_id, n, start, sum(k) AS total FROM wb GROUP BY ALL),
+m AS (SELECT doc_id, item_id, wb.n, start, sum(least(wb.k, ic.k)) AS common
+      FROM wb JOIN ic ON wb.n = ic.n AND wb.s = ic.s GROUP BY ALL),
+r AS (SELECT doc_id, item_id, start, least(n, len(w) - start) AS n_words,
+             common, total + n - 4 - common AS either
+      FROM m JOIN wl USING (doc_id, n, start) JOIN d USING (doc_id))
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(n_words AS BIGINT) AS n_words,
+       CAST(common AS DOUBLE) / CAST(either AS DOUBLE) AS similarity
+FROM r WHERE common * 100 >= either * 75
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common::DOUBLE / either::DOUBLE DESC, start) = 1"""
+
+OP3_SQL = f"""
+WITH p AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS k,
+                  unnest(string_split(text, chr(10))) AS line FROM documents),
+o AS (SELECT doc_id, k, doc_id * 1000000 + k AS place, line, regexp_extract_all(line, {_WORDS}) AS w FROM p),
+u AS (SELECT w, len(w) AS n, min(place) AS first FROM o WHERE len(w) > 0 GROUP BY w),
+v AS (SELECT w, n, first, i, list_concat(w[1:i], w[i + 2:n]) AS rest
+      FROM (SELECT *, unnest(range(n)) AS i FROM u WHERE n >= 8)),
+g AS (SELECT n, i, rest, min(first) AS best FROM v GROUP BY ALL),
+e AS (SELECT n, rest, min(first) AS best FROM v GROUP BY ALL),
+near AS (SELECT w FROM v JOIN g USING (n, i, rest) WHERE best < first
+   UNION SELECT v.w FROM v JOIN u ON v.rest = u.w WHERE u.n >= 8 AND u.first < v.first
+   UNION SELECT u.w FROM u JOIN e ON e.rest = u.w WHERE u.n >= 8 AND e.best < u.first),
+f AS (SELECT o.doc_id, o.k, o.line,
+             len(o.w) > 0 AND (o.place <> u.first OR near.w IS NOT NULL) AS gone
+      FROM o LEFT JOIN u ON o.w = u.w LEFT JOIN near ON o.w = near.w),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text,
+             count(*) FILTER (WHERE gone) AS n_removed FROM f GROUP BY doc_id)
+SELECT d.doc_id, t.text, coalesce(t.n_removed, 0) AS n_removed FROM documents d LEFT JOIN t USING (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
     "op10_jaccard_join": OP10_SQL,
 }
 

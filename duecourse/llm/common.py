@@ -47,3 +47,13 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table with a broadcast hint if it has at most ``rows`` rows; else as it is, so
     that the join shuffles both sides."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def row_id(key: str, text: str) -> Column:
+    """What tells one row from another and orders rows: by key, null last, then by a hash of the
+    text. Nothing in it is null, so it can be joined on. Rows alike in both count as one row."""
+    return F.struct(
+        F.col(key).isNull().alias("unknown"),
+        F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"),
+        F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"),
+    )

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecourse.llm import decontamination, jaccard_join, line_dedup, mixing
-from duecourse.llm.common import table
+from duecourse.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
+from duecourse.llm.common import held_out, learnable, table
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), learnable(F.col("key")))
+    return toxicity.scored(docs, model).select(
+        F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -109,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op8_toxicity": op8_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {

@@ -12,6 +12,8 @@ Sets are related before they are compared:
   to has been answered already. What is left to look at is the difference, pairs of a list that lie
   in different components, and those are all compared. So a group of n near copies costs n
   comparisons, not n squared, and no link between different components is missed.
+* A candidate pair is first held to its sets' bitmaps, an exact upper bound of the overlap that is
+  some thirty times smaller than the sets, then to the sets themselves.
 
 Which shingles count as frequent (they come last in the order) is found on one in ``SAMPLE`` texts;
 this decides the speed only. Any order gives the same links.
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duecourse.llm.common import hinted, stored
+from duecourse.llm.common import hinted, row_id, stored
 from duecourse.llm.components import components
 from duecourse.llm.shingles import digest, shingle_sets
 
@@ -64,6 +66,14 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(found.toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Which residues occur among a set's hashes: bits in 64-bit words, their number a power of two
+    of at least two bits a hash."""
+    bits = np.zeros(1 << max(6, (2 * len(s)).bit_length()), dtype=bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``key, th, n, d1, d2, cold, entries``: set size, digest and index entries of every row;
     the first ``cold`` entries are not frequent."""
@@ -72,7 +82,7 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = frequent.value
         for batch in batches:
-            sizes, ones, twos, colds, kept = [], [], [], [], []
+            sizes, ones, twos, colds, kept, maps = [], [], [], [], [], []
             for s in shingle_sets(batch.column(2), width):
                 n = len(s)
                 one, two = digest(s) if n else (0, 0)
@@ -89,20 +99,22 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 twos.append(two)
                 colds.append(min(len(cold), len(entries)))
                 kept.append(entries)
+                maps.append(_bitmap(s))
             offsets = np.concatenate([[0], np.cumsum([len(e) for e in kept])]).astype(np.int32)
             values = np.concatenate([*kept, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()),
                  pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(colds, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["key", "th", "n", "d1", "d2", "cold", "entries"],
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                 pa.array(maps, pa.list_(pa.int64()))],
+                names=["key", "th", "n", "d1", "d2", "cold", "entries", "bits"],
             )
 
     schema = T.StructType([
         T.StructField("key", docs.schema["key"].dataType), T.StructField("th", T.LongType()),
         T.StructField("n", T.IntegerType()), T.StructField("d1", T.LongType()),
         T.StructField("d2", T.LongType()), T.StructField("cold", T.IntegerType()),
-        T.StructField("entries", T.ArrayType(T.LongType())),
+        T.StructField("entries", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())),
     ])
     return stored(docs.select("key", "th", "text").mapInArrow(sign, schema), "signed")
 
@@ -116,6 +128,34 @@ def _alike_in_size(n: Column, m: Column, num: int, den: int) -> Column:
     return F.least(n, m).cast("long") * den >= F.greatest(n, m).cast("long") * num
 
 
+def _screened(pairs: DataFrame, single: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` without those whose bitmaps prove too many shingles of one set to be missing in
+    the other: a residue that only one of them has stands for at least one such shingle."""
+
+    def side(name: str, mark: str) -> DataFrame:
+        return single.select(F.col("d1").alias(name), F.col("n").alias("n" + mark), F.col("bits").alias("b" + mark))
+
+    def halved(bits: str, other: str) -> Column:
+        half = F.size(other)
+        return F.when(F.size(bits) == half * 2, F.zip_with(
+            F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda a, b: a.bitwiseOR(b)
+        )).otherwise(F.col(bits))
+
+    def alone(one: str, two: str) -> Column:
+        only = F.zip_with(one, two, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
+        return F.aggregate(only, F.lit(0), lambda total, k: total + k)
+
+    most = F.least(F.col("n1") - alone("c1", "c2"), F.col("n2") - alone("c2", "c1"))
+    return stored(
+        pairs.join(side("x", "1"), "x").join(side("y", "2"), "y")
+        .withColumns({"c1": halved("b1", "b2"), "c2": halved("b2", "b1")})
+        .filter(_alike_in_size(F.col("n1"), F.col("n2"), num, den))
+        .filter((F.size("c1") != F.size("c2")) | _reaches(most, F.col("n1"), F.col("n2"), num, den))
+        .select("x", "y").distinct(),
+        "screened",
+    )
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (columns ``x, y``, first digests) that are similar, as links ``a, b``.
     Only the texts that take part are read into sets again."""
@@ -159,8 +199,9 @@ def similar_groups(
     num: int = 75,
     den: int = 100,
 ) -> DataFrame:
-    """``key, th, n, component`` for every row: hash of the text, size of its set, and the least
-    key in its component; two texts are linked when den * intersection >= num * union."""
+    """``key, th, n, component, first`` for every row: hash of the text, size of its set, the least
+    key in its component, and whether the row is the first of it; two texts are linked when
+    den * intersection >= num * union."""
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     signed = _signed(docs, width, num, den)
     filled = signed.filter("n > 0")
@@ -202,7 +243,7 @@ def similar_groups(
         .select(F.col("set.d1").alias("x"), F.col("lead.d1").alias("y")).distinct(),
         "pairs",
     )
-    links = _verified(first, docs, classes, width, num, den)
+    links = _verified(_screened(first, single, num, den), docs, classes, width, num, den)
     if not links.isEmpty():
         known = components(links).select(F.col("node.d1").alias("known"), F.col("root.d1").alias("root"))
         placed = shared.join(known.dropDuplicates(["known"]), F.col("set.d1") == F.col("known"), "left")
@@ -215,6 +256,7 @@ def similar_groups(
     )
     rest = _across(placed, num, den)
     if not rest.isEmpty():
+        rest = _screened(rest, single, num, den)
         links = links.unionByName(_verified(rest, docs, classes, width, num, den))
     return _labelled(signed, links)
 
@@ -265,7 +307,31 @@ def _labelled(signed: DataFrame, links: DataFrame) -> DataFrame:
     if not links.isEmpty():
         rows = rows.join(components(links).withColumnRenamed("node", "set"), "set", "left")
         rows = rows.withColumn("set", F.coalesce("root", "set")).drop("root")
-    least = rows.filter("n > 0").groupBy("set").agg(F.min("key").alias("least"))
+    row = F.struct(F.col("key").isNull().alias("unknown"), "key", "th")
+    least = rows.filter("n > 0").groupBy("set").agg(F.min("key").alias("least"), F.min(row).alias("top"))
+    filled = F.col("n") > 0
     return rows.join(least, "set", "left").select(
-        "key", "th", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component")
+        "key", "th", "n", F.when(filled, F.col("least")).otherwise(F.col("key")).alias("component"),
+        F.when(filled, row == F.col("top")).otherwise(F.lit(True)).alias("first"),
+    )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: the first by key, null last. Texts
+    without words all stay. The columns come back as they were."""
+    rows = similar_groups(docs, key, text, **limits).select(
+        F.struct(F.col("key").isNull().alias("unknown"),
+                 F.coalesce(F.col("key").cast("long"), F.lit(0)).alias("key"), "th").alias("doc"), "n", "first")
+    seen = rows.groupBy("doc").agg(F.first("first").alias("first"), F.count("*").alias("rows"), F.max("n").alias("n"))
+    gone = stored(
+        seen.filter("not first or (rows > 1 and n > 0)").select("doc", (F.col("first")).alias("again")), "gone"
+    )
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_id(key, text).alias("doc"))
+    kept = whole.join(hinted(gone), "doc", "left_anti").select("row.*")
+    again = gone.filter("again")
+    if again.isEmpty():
+        return kept
+    # Rows alike in key and text count as one.
+    return kept.unionByName(
+        whole.join(hinted(again), "doc", "left_semi").dropDuplicates(["doc"]).select("row.*")
     )

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duecourse.llm.common import stored, word_count
+from duecourse.llm.common import row_id, stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents ranked together when the copies of a bin are dealt out.
@@ -28,9 +28,10 @@ STARTS = 32
 
 
 def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row per document: key, source and number of words."""
+    """One row per document: key, hash of the text, source and number of words."""
     return docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")
+        F.col(key).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(source).alias("source"),
+        word_count(F.col(text)).alias("size"),
     )
 
 
@@ -163,7 +164,8 @@ def mixed(
     key: str = "doc_id",
     source: str = "source",
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate, copies`` for every document."""
+    """``doc_id, th, source, size, source_size, target, rate, copies`` for every document; ``th`` is
+    a hash of its text."""
     sizes = stored(sized(docs, text, key, source), "sizes")
     bins = stored(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "bins")
     goals = stored(multipliers(bins, targets(sizes, weights, share, limit), limit), "goals")
@@ -206,7 +208,7 @@ def _dealt_out(sizes: DataFrame, dealt: DataFrame) -> DataFrame:
     """Copies of each document: those of its bin in equal parts, the rest by rank of a hash.
     A bin is ranked in slices, so a bin that holds a third of all rows is no single task."""
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size"))
-    order = F.xxhash64("doc_id")
+    order = F.xxhash64("doc_id", "th")
     rows = sizes.join(
         dealt.withColumnsRenamed({"source": "of", "size": "of_size"}), same
     ).withColumn("slice", F.pmod(order, F.floor(F.col("n") / SLICE) + 1))
@@ -219,14 +221,32 @@ def _dealt_out(sizes: DataFrame, dealt: DataFrame) -> DataFrame:
     )
     here = (F.col("source").eqNullSafe(F.col("at")) & (F.col("size") == F.col("at_size"))
             & (F.col("slice") == F.col("at_slice")))
-    place = F.row_number().over(Window.partitionBy(*of_bin).orderBy(order, "doc_id"))
+    place = F.row_number().over(Window.partitionBy(*of_bin).orderBy(order, "doc_id", "th"))
     return (
         rows.withColumn("place", place)
         .join(starts, here, "left")
         .withColumn("place", F.col("place") + F.coalesce(F.col("earlier"), F.lit(0)))
         .select(
-            "doc_id", "source", "size", "source_size", "target", "rate",
+            "doc_id", "th", "source", "size", "source_size", "target", "rate",
             (F.floor(F.col("bin_copies") / F.col("n"))
              + (F.col("place") <= F.col("bin_copies") % F.col("n")).cast("int")).cast("int").alias("copies"),
         )
     )
+
+
+def repeated(
+    docs: DataFrame, mix: DataFrame, key: str = "doc_id", text: str = "text", number: str = "copy"
+) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as often as ``mix`` says, with the columns it had and
+    the number of the copy. Rows alike in key and text share their copies."""
+    of = mix.select(
+        F.struct(F.col("doc_id").isNull().alias("unknown"),
+                 F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), "th").alias("doc"), "copies"
+    ).groupBy("doc").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_id(key, text).alias("doc"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("doc"))
+    own = F.floor(F.col("copies") / F.col("rows")) + (place <= F.col("copies") % F.col("rows")).cast("int")
+    return (
+        whole.join(of.filter("copies > 0"), "doc").withColumn("own", own).filter("own > 0")
+        .select("row.*", F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))).alias(number))
+    )

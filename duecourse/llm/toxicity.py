@@ -249,3 +249,19 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(score, f"key {kind}, th long, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with the columns they had."""
+    plain = (model.spelling.costs, model.features, model.weights, model.constant)
+    told, place = docs.sparkSession.sparkContext.broadcast(plain), docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costs, features, values, constant = told.value
+        spelling, weights, known = Spelling(costs), Weights(features, values), {}
+        for batch in batches:
+            column = batch.column(place)
+            z = weights.sums(column, _repaired(column, spelling, known)) + constant
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))) < limit))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecourse.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
+from duecourse.llm import (
+    decontamination,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    substring_dedup,
+    toxicity,
+)
 from duecourse.llm.common import held_out, learnable, table
 
 
@@ -55,6 +63,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.y, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id"""
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fitted(docs, learnable(F.col("doc_id")))
+    return language_id.identified(docs, model).select(
+        F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.when(~F.col("doc.unknown"), F.col("doc.key")).alias("doc_id"),
+        F.col("a").cast("long").alias("start_byte"), F.col("b").cast("long").alias("end_byte"),
+        F.when(~F.col("first.unknown"), F.col("first.key")).alias("first_doc_id"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -115,9 +140,11 @@ SELECT d.doc_id, t.text, coalesce(t.n_removed, 0) AS n_removed FROM documents d
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }

@@ -13,6 +13,7 @@ from duecourse.llm import (
     language_id,
     line_dedup,
     mixing,
+    quality_rules,
     substring_dedup,
     toxicity,
 )
@@ -27,6 +28,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = quality_rules.fitted(docs, table(spark, sf_dir, "labels"), learnable(F.col("key")))
+    return quality_rules.judged(docs, chain).select(
+        F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "content_share",
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), learnable(F.col("key")))
@@ -145,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }

@@ -13,6 +13,7 @@ from duecourse.llm import (
     language_id,
     line_dedup,
     mixing,
+    quality_classifier,
     quality_rules,
     substring_dedup,
     toxicity,
@@ -81,6 +82,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fitted(docs, table(spark, sf_dir, "labels"), learnable(F.col("key")))
+    return quality_classifier.scored(docs, model).select(
+        F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).alias("kept"),
+    )
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeats(table(spark, sf_dir, "documents"))
     return found.select(
@@ -154,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,

@@ -11,6 +11,7 @@ from duecourse.llm import (
     decontamination,
     jaccard_join,
     language_id,
+    licenses,
     line_dedup,
     mixing,
     quality_classifier,
@@ -47,6 +48,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.found(table(spark, sf_dir, "documents")).select(
+        F.when(~F.col("doc.unknown"), F.col("doc.key")).alias("doc_id"), F.col("line_no").cast("long").alias("line_no"),
+        "family", "probability", "similarity",
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -168,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
+    "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {

@@ -52,8 +52,9 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def row_id(key: str, text: str) -> Column:
     """What tells one row from another and orders rows: by key, null last, then by a hash of the
     text. Nothing in it is null, so it can be joined on. Rows alike in both count as one row."""
-    return F.struct(
-        F.col(key).isNull().alias("unknown"),
-        F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"),
-        F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"),
+    # Named so, not by aliases: beside a generator Spark drops the aliases inside a struct.
+    return F.named_struct(
+        F.lit("unknown"), F.col(key).isNull(),
+        F.lit("key"), F.coalesce(F.col(key).cast("long"), F.lit(0)),
+        F.lit("th"), F.xxhash64(text),
     )

@@ -55,10 +55,9 @@ def chunked(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             last[offsets[1:][offsets[1:] > 0] - 1] = True
             # the first bytes of a text may not depend on the text before
             ends = np.flatnonzero(last) + 1
-            for a in offsets[:-1][np.diff(offsets) > 0].tolist():
-                i, j = np.searchsorted(ends, [a, a + ROLLED], side="right")
-                if j > i:
-                    ends = _own_start(ends, i, j, data, a, offsets)
+            firsts = np.flatnonzero(np.diff(offsets) > 0)
+            for a, end in zip(offsets[firsts].tolist(), offsets[firsts + 1].tolist(), strict=True):
+                ends = _own_start(ends, data, a, min(a + ROLLED, end), end)
             starts = np.concatenate([[0], ends[:-1]])
             starts, ends = _cut_long(starts, ends)
             place = np.arange(len(data)) - np.repeat(starts, ends - starts)
@@ -72,13 +71,14 @@ def chunked(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         base += n
 
 
-def _own_start(ends: np.ndarray, i: int, j: int, data: np.ndarray, a: int, offsets: np.ndarray) -> np.ndarray:
-    """Borders among the first bytes of the text that starts at ``a``, hashed from there on."""
-    b = min(a + ROLLED, int(offsets[np.searchsorted(offsets, a, side="right")]))
+def _own_start(ends: np.ndarray, data: np.ndarray, a: int, b: int, end: int) -> np.ndarray:
+    """Borders among the first bytes, up to ``b``, of the text that starts at ``a``, hashed anew."""
+    i, j = np.searchsorted(ends, [a, b], side="right")
     own = np.flatnonzero(borders(data[a:b])) + 1 + a
-    end = int(offsets[np.searchsorted(offsets, a, side="right")])
-    if end <= a + ROLLED:
+    if b == end:
         own = np.union1d(own, [end])
+    if len(own) == j - i and (own == ends[i:j]).all():
+        return ends
     return np.concatenate([ends[:i], own, ends[j:]])
 
 

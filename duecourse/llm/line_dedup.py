@@ -23,41 +23,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duecourse.llm.common import hinted, row_id, stored, words
+from duecourse.llm.common import WORD, hinted, row_id, stored, words
 
 #: Lines with fewer words are removed only for an equal line.
 LEAST = 8
 
 
 def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """``doc, line_no, w, n, l1, l2, halves``: each line with words; two hashes stand for it."""
+    """``doc, line_no, l1, l2, halves``: each line with words; two hashes stand for it, and
+    ``halves`` are hashes of the halves that a line one edit away may share."""
     n, w = F.col("n"), F.col("w")
+    # Lines one edit apart, the shorter of n words, agree in their first or last n div 2 words; n is
+    # this line's length or one less.
+    sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
 
-    def half(side: int, m: Column) -> Column:
-        part = F.slice(w, F.lit(1) if side == 0 else n - m + 1, m)
-        return F.xxhash64(F.lit(side), m, part)
+    def half(side: int):
+        return F.transform(sizes, lambda m: F.xxhash64(
+            F.lit(side), m, F.array_join(F.slice(w, F.lit(1) if side == 0 else n - m + 1, m), " ")))
 
-    whole, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    pair = F.array(half(0, whole), half(1, whole))
-    halves = F.when(n < least, F.array().cast("array<bigint>")).when(whole == less, pair).otherwise(
-        F.concat(pair, F.array(half(0, less), half(1, less)))
-    )
+    halves = F.when(n < least, F.array().cast("array<bigint>")).otherwise(F.concat(half(0), half(1)))
     return (
         docs.select(row_id(key, text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+        .filter(F.col("line").rlike(WORD))
         .select("doc", "line_no", words(F.col("line")).alias("w"))
-        .withColumn("n", F.size("w")).filter("n > 0")
-        .withColumns({"l1": F.xxhash64("w"), "l2": F.xxhash64(F.lit(7), "w"), "halves": halves})
+        .withColumns({"n": F.size("w"), "line": F.array_join("w", " ")})
+        .select("doc", "line_no", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), halves.alias("halves"))
     )
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """``v, pos, n, first, l1, l2``: a hash of each line without its word at ``pos``, and one of the
-    whole line at -1. Hashes are exclusive ors over (place, word), so a line of n words takes n steps."""
-    line = Window.partitionBy("l1", "l2")
+    """``v, pos, id``: a hash of each line without its word at ``pos``, and one of the whole line at
+    -1, each with its length. Hashes are exclusive ors over (place, word), so a line of n words takes
+    n steps."""
+    line = Window.partitionBy("id")
     upto = line.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     made = (
-        lines.select("l1", "l2", "first", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        .withColumns({"here": F.xxhash64("pos", "word"), "moved": F.xxhash64(F.col("pos") - 1, "word")})
+        lines.select("id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+        .select("id", "n", "pos", F.xxhash64("pos", "word").alias("here"),
+                F.xxhash64(F.col("pos") - 1, "word").alias("moved"))
         .withColumns({
             "whole": F.bit_xor("here").over(line), "all_moved": F.bit_xor("moved").over(line),
             "here_upto": F.bit_xor("here").over(upto), "moved_upto": F.bit_xor("moved").over(upto),
@@ -65,52 +68,57 @@ def _variants(lines: DataFrame) -> DataFrame:
     )
     before = F.col("here_upto").bitwiseXOR(F.col("here"))
     after = F.col("all_moved").bitwiseXOR(F.col("moved_upto"))
-    return made.select(
-        F.explode(F.when(
-            F.col("pos") == 0,
-            F.array(F.struct(before.bitwiseXOR(after).alias("v"), F.col("pos").alias("pos")),
-                    F.struct(F.col("whole").alias("v"), F.lit(-1).alias("pos"))),
-        ).otherwise(F.array(F.struct(before.bitwiseXOR(after).alias("v"), F.col("pos").alias("pos"))))).alias("x"),
-        "n", "first", "l1", "l2",
-    ).select("x.v", "x.pos", "n", "first", "l1", "l2")
-
-
-def near_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``l1, l2`` of the lines that have an earlier neighbour one word edit away."""
-    return _near(docs, stored(_lines(docs, key, text, least).select("doc", "line_no", "l1", "l2", "halves"), "lines"),
-                 key, text, least)
+    less = F.named_struct(F.lit("v"), F.xxhash64(before.bitwiseXOR(after), F.col("n") - 1), F.lit("pos"), F.col("pos"))
+    entire = F.named_struct(F.lit("v"), F.xxhash64("whole", "n"), F.lit("pos"), F.lit(-1))
+    both = F.when(F.col("pos") == 0, F.array(less, entire)).otherwise(F.array(less))
+    return made.select(F.explode(both).alias("x"), "id").select("x.v", "x.pos", "id")
 
 
-def _near(docs: DataFrame, lines: DataFrame, key: str, text: str, least: int) -> DataFrame:
+def _candidates(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, l1, l2, w``: the lines that share a half with another line; ids are in order of first
+    places (ranges of places, numbered through within each)."""
+    halves = lines.select("l1", "l2", "doc", "line_no", F.explode("halves").alias("half"))
     open_ = stored(
-        lines.select("l1", F.explode("halves").alias("half"))
-        .groupBy("half").agg(F.min("l1").alias("a"), F.max("l1").alias("b"))
-        .filter("a <> b").select("half"),
+        halves.groupBy("half").agg(F.min("l1").alias("a"), F.max("l1").alias("b")).filter("a <> b").select("half"),
         "halves",
     )
-    lone = stored(
-        _lines(docs, key, text, least)
-        .select("doc", "line_no", "l1", "l2", "w", F.explode("halves").alias("half"))
-        .join(hinted(open_), "half", "left_semi")
-        .groupBy("l1", "l2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.any_value("w").alias("w")),
+    firsts = (
+        halves.join(hinted(open_), "half", "left_semi")
+        .groupBy("l1", "l2").agg(F.min(F.struct("doc", "line_no")).alias("first"))
+    )
+    wanted = stored(
+        firsts.groupBy("first.doc").agg(F.sort_array(F.collect_list(F.struct("first.line_no", "l1", "l2"))).alias("wanted"))
+        .withColumnRenamed("doc", "of"),
+        "wanted",
+    )
+    numbers = F.transform("wanted", lambda x: x["line_no"])
+    found = F.filter(F.split("text", "\n"), lambda _, i: F.array_contains(numbers, i))
+    return stored(
+        docs.select(row_id(key, text).alias("doc"), F.col(text).alias("text"))
+        .join(hinted(wanted), F.col("doc") == F.col("of"))
+        .select("doc", F.explode(F.zip_with("wanted", found, lambda x, line: F.named_struct(
+            F.lit("line_no"), x["line_no"], F.lit("l1"), x["l1"], F.lit("l2"), x["l2"], F.lit("line"), line))).alias("x"))
+        .select("x.l1", "x.l2", F.struct("doc", "x.line_no").alias("first"), words(F.col("x.line")).alias("w"))
+        .repartitionByRange("first", "l1", "l2").dropDuplicates(["first", "l1", "l2"])
+        .sortWithinPartitions("first", "l1", "l2")
+        .select(F.monotonically_increasing_id().alias("id"), "l1", "l2", "w"),
         "candidates",
     )
-    variants = stored(_variants(lone), "variants")
+
+
+def _near(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
+    """``l1, l2`` of the lines that have an earlier neighbour one word edit away."""
+    lone = _candidates(docs, lines, key, text)
+    variants = stored(_variants(lone.select("id", "w")), "variants")
     deleted, entire = variants.filter("pos >= 0"), variants.filter("pos < 0")
-    own = F.struct("first", "l1", "l2", "pos")
-    swapped = deleted.groupBy("v", "pos", "n").agg(F.min(own).alias("best"))
-    exchanged = deleted.join(swapped, ["v", "pos", "n"]).select("l1", "l2", "first", "best", "pos", F.lit(0).alias("kind"))
-    shorter = entire.select("v", (F.col("n") + 1).alias("n"), own.alias("best"))
-    taken_out = deleted.join(shorter, ["v", "n"]).select("l1", "l2", "first", "best", "pos", F.lit(1).alias("kind"))
-    longer = deleted.groupBy("v", "n").agg(F.min(own).alias("best")).withColumn("n", F.col("n") - 1)
-    put_in = entire.join(longer, ["v", "n"]).select(
-        "l1", "l2", "first", "best", F.col("best.pos").alias("pos"), F.lit(2).alias("kind")
-    )
-    pairs = exchanged.union(taken_out).union(put_in).filter(F.col("best.first") < F.col("first")).select(
-        "l1", "l2", F.col("best.l1").alias("o1"), F.col("best.l2").alias("o2"), "pos", "kind"
-    ).dropDuplicates(["l1", "l2", "o1", "o2", "kind"])
-    mine = lone.select("l1", "l2", "w")
-    other = lone.select(F.col("l1").alias("o1"), F.col("l2").alias("o2"), F.col("w").alias("ow"))
+    swapped = deleted.groupBy("v", "pos").agg(F.min("id").alias("o"))
+    exchanged = deleted.join(swapped, ["v", "pos"]).select("id", "o", "pos", F.lit(0).alias("kind"))
+    taken_out = deleted.join(entire.select("v", F.col("id").alias("o")), "v").select("id", "o", "pos", F.lit(1).alias("kind"))
+    longer = deleted.groupBy("v").agg(F.min(F.struct("id", "pos")).alias("best"))
+    put_in = entire.join(longer, "v").select("id", F.col("best.id").alias("o"), F.col("best.pos").alias("pos"), F.lit(2).alias("kind"))
+    pairs = exchanged.union(taken_out).union(put_in).filter(F.col("o") < F.col("id")).dropDuplicates(["id", "o", "kind"])
+    mine = lone.select("id", "l1", "l2", "w")
+    other = lone.select(F.col("id").alias("o"), F.col("w").alias("ow"))
 
     def without(w: str) -> Column:
         return F.concat(F.slice(w, F.lit(1), F.col("pos")), F.slice(w, F.col("pos") + 2, F.size(w)))
@@ -123,7 +131,7 @@ def _near(docs: DataFrame, lines: DataFrame, key: str, text: str, least: int) ->
         .otherwise(without("ow") == F.col("w"))
     )
     return stored(
-        pairs.join(mine, ["l1", "l2"]).join(other, ["o1", "o2"]).filter(one_edit).select("l1", "l2").distinct(), "near"
+        pairs.join(mine, "id").join(other, "o").filter(one_edit).select("l1", "l2").distinct(), "near"
     )
 
 
@@ -136,8 +144,8 @@ def deduplicated(
 ) -> DataFrame:
     """``docs`` without the lines that an earlier line stands for; with the number of lines
     removed in a column ``removed`` if that is named."""
-    lines = stored(_lines(docs, key, text, least).select("doc", "line_no", "l1", "l2", "halves"), "lines")
-    near = _near(docs, lines, key, text, least).withColumn("near", F.lit(True))
+    lines = stored(_lines(docs, key, text, least), "lines")
+    near = _near(docs, lines, key, text).withColumn("near", F.lit(True))
     places = lines.select("l1", "l2", "doc", "line_no")
     repeated = (
         places.groupBy("l1", "l2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"))

@@ -7,8 +7,8 @@ Sets are related before they are compared:
   threshold t share one of them). An entry's list is put in order of size and cut into blocks of
   like sizes and positions; a pair of blocks whose best case cannot reach the threshold is skipped
   without looking at its entries.
-* Of each list one set is the leader. A set is first compared with the leader it shares most
-  entries with. A set found similar takes over the leader's component: what the leader is linked
+* Of each list one set is the leader. A component (at first each set by itself) is compared with the
+  leader it meets in most lists. A set found similar takes over the leader's component: what the leader is linked
   to has been answered already. What is left to look at is the difference, pairs of a list that lie
   in different components, and those are all compared. So a group of n near copies costs n
   comparisons, not n squared, and no link between different components is missed.
@@ -41,8 +41,10 @@ from duecourse.llm.shingles import digest, shingle_sets
 SAMPLE = 16
 #: Most shingles that are treated as frequent, 8 bytes each on every executor.
 FREQUENT = 1_000_000
-#: A frequent shingle's list is led in so many parts first.
+#: A frequent shingle's list is dealt into so many parts.
 PARTS = 64
+#: Times that components are compared with leaders before their differences are gone through.
+ROUNDS = 2
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
@@ -218,42 +220,46 @@ def similar_groups(
     single = filled.join(many, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left").filter(
         F.col("c1").isNull() | ((F.col("th") == F.col("cth")) & F.col("key").eqNullSafe(F.col("ckey")))
     )
+    # An entry is three numbers: its list (a frequent shingle's list is dealt into parts), its set,
+    # and size, place and part in one.
+    part = F.when(F.col("pos") >= F.col("cold"), F.pmod("d1", F.lit(PARTS)) + 1).otherwise(0)
     entry = single.select("d1", "n", "cold", F.posexplode("entries").alias("pos", "token")).select(
-        "token", "d1", F.struct("n", "d1").alias("set"), "pos",
-        F.when(F.col("pos") >= F.col("cold"), F.pmod("d1", F.lit(PARTS)) + 1).otherwise(0).cast("int").alias("part"),
+        F.when(F.col("pos") >= F.col("cold"), F.xxhash64("token", part)).otherwise(F.col("token")).alias("list"), "d1",
+        (F.shiftleft(F.col("n").cast("long"), 35) + F.shiftleft(F.col("pos").cast("long"), 7) + part).alias("about"),
+        "token",
     )
-    listed = Window.partitionBy("token", "part")
+    listed = Window.partitionBy("list")
+    n, pos = F.shiftrightunsigned("about", 35), F.shiftrightunsigned("about", 7).bitwiseAND(F.lit((1 << 28) - 1))
     shared = stored(
-        entry.withColumns({"lead": F.min("set").over(listed), "last": F.max("set").over(listed)})
-        .filter("part > 0 or lead <> last")
-        .select("token", "part", "set", "pos", "lead"),
+        entry.select("list", "d1", "about", F.when(F.col("about").bitwiseAND(F.lit(127)) > 0, F.col("token")).alias("hot"))
+        .withColumns({"low": F.min("d1").over(listed), "high": F.max("d1").over(listed)})
+        .filter("hot is not null or low <> high")
+        .select(F.coalesce("hot", "list").alias("token"), "d1", n.cast("int").alias("n"), pos.cast("int").alias("pos")),
         "entries",
     )
-    alike = _alike_in_size(F.col("set.n"), F.col("lead.n"), num, den)
-    best = F.max_by("lead", F.struct("votes", F.col("lead.n"), F.col("lead.d1")))
-    tops = shared.filter("part > 0").groupBy("token").agg(F.min("lead").alias("top"))
-    leads = shared.filter("part > 0").select("token", F.col("lead").alias("set")).distinct()
-    upper = leads.join(tops, "token").select("set", F.col("top").alias("lead"))
-    first = stored(
-        shared.select("set", "lead", F.lit(1).alias("level"))
-        .union(upper.withColumn("level", F.lit(2)))
-        .filter((F.col("set") != F.col("lead")) & alike)
-        .groupBy("level", "set", "lead").agg(F.count("*").alias("votes"))
-        .groupBy("level", "set").agg(best.alias("lead"))
-        .select(F.col("set.d1").alias("x"), F.col("lead.d1").alias("y")).distinct(),
-        "pairs",
-    )
-    links = _verified(_screened(first, single, num, den), docs, classes, width, num, den)
-    if not links.isEmpty():
-        known = components(links).select(F.col("node.d1").alias("known"), F.col("root.d1").alias("root"))
-        placed = shared.join(known.dropDuplicates(["known"]), F.col("set.d1") == F.col("known"), "left")
-    else:
-        placed = shared.withColumn("root", F.lit(None).cast("long"))
+    # Of the sets of a list, one whose entries are nearly all shared with others leads: it stands in
+    # the middle of its group, where an edited copy has entries of its own.
+    share = shared.groupBy("d1").agg((F.count("*") / (F.max("n") + F.lit(1))).alias("share"))
     placed = stored(
-        placed.select("token", F.col("set.d1").alias("d1"), F.col("set.n").alias("n"), "pos",
-                      F.coalesce("root", "set.d1").alias("comp")),
+        shared.join(share, "d1").select(
+            "token", "d1", "n", "pos", F.struct(-F.col("share"), "n", "d1").alias("rank"), F.col("d1").alias("comp")
+        ),
         "placed",
     )
+    links = None
+    for turn in range(ROUNDS):
+        near = _led(placed, turn == 0, num, den)
+        found = _verified(_screened(near, single, num, den), docs, classes, width, num, den)
+        links = found if links is None else links.unionByName(found)
+        if links.isEmpty():
+            break
+        known = components(links).select(F.col("node.d1").alias("known"), F.col("root.d1").alias("root"))
+        placed = stored(
+            shared.join(share, "d1").join(known.dropDuplicates(["known"]), F.col("d1") == F.col("known"), "left")
+            .select("token", "d1", "n", "pos", F.struct(-F.col("share"), "n", "d1").alias("rank"),
+                    F.coalesce("root", "d1").alias("comp")),
+            "placed",
+        )
     rest = _across(placed, num, den)
     if not rest.isEmpty():
         rest = _screened(rest, single, num, den)
@@ -261,41 +267,68 @@ def similar_groups(
     return _labelled(signed, links)
 
 
+def _led(placed: DataFrame, alone: bool, num: int, den: int) -> DataFrame:
+    """A pair ``x, y`` for each component that meets another one in a list: its best placed set there
+    and the list's leader, for the leader it meets most often. ``alone``: each set is a component."""
+    own = placed.select("token", "comp", "rank") if alone else (
+        placed.groupBy("token", "comp").agg(F.min("rank").alias("rank"))
+    )
+    lead = own.groupBy("token").agg(F.min("rank").alias("lead"))
+    return stored(
+        own.join(lead, "token")
+        .filter(F.col("rank") != F.col("lead"))
+        .filter(_alike_in_size(F.col("rank.n"), F.col("lead.n"), num, den))
+        .groupBy("comp", "rank", "lead").agg(F.count("*").alias("votes"))
+        .groupBy("comp").agg(F.max_by(F.struct("rank", "lead"), F.struct("votes", -F.col("lead.n"), "lead.d1")).alias("best"))
+        .select(F.col("best.rank.d1").alias("x"), F.col("best.lead.d1").alias("y")).filter("x <> y"),
+        "pairs",
+    )
+
+
 def _across(placed: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``x, y`` of sets that share an entry, lie in different components, and may reach the
-    threshold by sizes and positions. Lists within one component are left out as a whole."""
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
+    threshold by sizes and positions. Of such a pair the smaller set has the first common shingle
+    among its first ``n - ceil(2 t n / (1 + t)) + 1``; entries further on are only looked up by
+    larger sets. Lists within one component, or without such an entry, are left out as a whole."""
+    # 2 t n / (1 + t) = 2 num n / (num + den)
+    indexed = F.col("pos") * (num + den) <= F.col("n").cast("long") * (den - num)
+    open_ = placed.groupBy("token").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("b"), F.max(indexed).alias("some")
+    ).filter("a <> b and some")
     rows = stored(
-        placed.join(open_.select("token"), "token", "left_semi").withColumns({
-            "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int"),
-            "spot": F.floor(F.log2(F.col("pos") + F.lit(1.0))).cast("int"),
-        }),
+        placed.join(open_.select("token"), "token", "left_semi").select(
+            "token", "d1", "n", "pos", "comp", indexed.alias("indexed"),
+            F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int").alias("band"),
+            F.floor(F.log2(F.col("pos") + F.lit(1.0))).cast("int").alias("spot"),
+        ),
         "open",
     )
-    block = rows.groupBy("token", "comp", "band", "spot").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("tail")
-    )
+    names = ("comp", "band", "spot")
 
     def side(mark: str) -> DataFrame:
+        block = rows.filter("indexed" if mark == "1" else "true").groupBy("token", *names).agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("tail")
+        )
         return block.select("token", *(F.col(c).alias(c + mark) for c in block.columns if c != "token"))
 
     best = F.least("tail1", "tail2")
     blocks = side("1").join(side("2"), "token").filter(
-        (F.col("comp1") < F.col("comp2"))
+        (F.col("comp1") != F.col("comp2")) & (F.col("least1") <= F.col("most2"))
         & (F.col("most1").cast("long") * den >= F.col("least2").cast("long") * num)
-        & (F.col("most2").cast("long") * den >= F.col("least1").cast("long") * num)
         & _reaches(best, F.col("least1"), F.col("least2"), num, den)
     ).select("token", "comp1", "band1", "spot1", "comp2", "band2", "spot2")
 
     def members(mark: str) -> DataFrame:
-        return rows.select("token", *(F.col(c).alias(c + mark) for c in ("comp", "band", "spot", "d1", "n", "pos")))
+        return rows.filter("indexed" if mark == "1" else "true").select(
+            "token", *(F.col(c).alias(c + mark) for c in (*names, "d1", "n", "pos")))
 
     pairs = blocks.join(members("1"), ["token", "comp1", "band1", "spot1"]).join(
         members("2"), ["token", "comp2", "band2", "spot2"]
     )
     overlap = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
     return stored(
-        pairs.filter(_alike_in_size(F.col("n1"), F.col("n2"), num, den)
+        pairs.filter((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("d11") < F.col("d12"))))
+        .filter(_alike_in_size(F.col("n1"), F.col("n2"), num, den)
                      & _reaches(overlap, F.col("n1"), F.col("n2"), num, den))
         .select(F.col("d11").alias("x"), F.col("d12").alias("y")).distinct(),
         "across",

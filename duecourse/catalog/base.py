@@ -266,9 +266,9 @@ def u4(t):
           strftime(min(issue_d), '%Y-%m') AS first_month, strftime(max(issue_d), '%Y-%m') AS last_month,
           round(avg(CASE WHEN y IS NULL THEN 1.0 ELSE 0.0 END), 6) AS without_outcome FROM (
           SELECT *, row_number() OVER (PARTITION BY issue_d ORDER BY md5(CAST(id AS VARCHAR) || '-42'), id) AS place
-          FROM {{replay}}) q WHERE place <= {100}""",
+          FROM {{replay}}) q WHERE place <= {SETTINGS.monitoring.sample_per_month}""",
 )
 def d13(t):
     from duecourse.operators.sampling import replay_summary, sample_by_month
 
-    return replay_summary(sample_by_month(t.replay, 100, SETTINGS.monitoring.seed))
+    return replay_summary(sample_by_month(t.replay, SETTINGS.monitoring.sample_per_month, SETTINGS.monitoring.seed))

@@ -23,7 +23,7 @@ L = PRICES.lgd
 RATE = 0.673217
 PRICED = E.Economics(RATE, PRICES.haircut)
 CUT = 0.3
-REFERENCE_ROWS = 700
+REFERENCE_ROWS = SETTINGS.monitoring.reference_sample
 RULES = Monitoring(replay=SETTINGS.monitoring.replay, reference_sample=REFERENCE_ROWS)
 
 
@@ -502,8 +502,10 @@ def r4(t):
 
 @query(
     "r5_table_fingerprint",
-    """SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(md5(coalesce(CAST(id AS VARCHAR), '~') || '|' || coalesce(purpose, '~')), 1, 12))::BIGINT AS HUGEINT)) AS VARCHAR) AS content
-       FROM {loans}""",
+    """WITH h AS (SELECT md5('{"id":' || coalesce('"' || CAST(id AS VARCHAR) || '"', 'null') || ',"purpose":'
+                 || coalesce('"' || purpose || '"', 'null') || '}') AS m FROM {loans})
+       SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(m, 1, 16))::UBIGINT AS HUGEINT)) AS VARCHAR) || '-'
+              || CAST(sum(CAST(('0x' || substr(m, 17, 16))::UBIGINT AS HUGEINT)) AS VARCHAR) AS content FROM h""",
 )
 def r5(t):
     return Pr.fingerprint(t.loans, ["id", "purpose"])

@@ -172,33 +172,33 @@ SAMPLE = "md5(CAST(id AS VARCHAR) || '-42'), id"
 @query(
     "w4_sample_by_month",
     f"""SELECT id, CAST(issue_d AS VARCHAR) AS issue_d FROM (SELECT id, issue_d,
-          row_number() OVER (PARTITION BY issue_d ORDER BY {SAMPLE}) AS place FROM {{replay}}) q WHERE place <= 100""",
+          row_number() OVER (PARTITION BY issue_d ORDER BY {SAMPLE}) AS place FROM {{replay}}) q WHERE place <= {SETTINGS.monitoring.sample_per_month}""",
 )
 def w4(t):
-    sample = sampling.sample_by_month(t.replay.select("id", "issue_d"), 100, 42)
+    sample = sampling.sample_by_month(t.replay.select("id", "issue_d"), SETTINGS.monitoring.sample_per_month, 42)
     return sample.select("id", F.col("issue_d").cast("string").alias("issue_d"))
 
 
 @query(
     "w5_sample_rows",
-    f"SELECT id FROM {{scored}} WHERE split = 'test' ORDER BY {SAMPLE} LIMIT 700",
+    f"SELECT id FROM {{scored}} WHERE split = 'test' ORDER BY {SAMPLE} LIMIT {SETTINGS.monitoring.reference_sample}",
 )
 def w5(t):
     test = Wn.assign_split(t.loans, SETTINGS.splits).filter(F.col("split") == "test")
-    return sampling.sample_rows(test.select("id"), 700, 42)
+    return sampling.sample_rows(test.select("id"), SETTINGS.monitoring.reference_sample, 42)
 
 
 @query(
     "w6_month_key_order",
     f"""SELECT CAST(row_number() OVER (ORDER BY issue_d, id) AS BIGINT) AS place, id FROM (
           SELECT id, issue_d, row_number() OVER (PARTITION BY issue_d ORDER BY {SAMPLE}) AS place FROM {{replay}}) q
-        WHERE place <= 20""",
+        WHERE place <= {SETTINGS.monitoring.sample_per_month}""",
 )
 def w6(t):
     """The capped sample in (month, id) order; the place is counted month by month."""
     from pyspark.sql import Window as W
 
-    sample = sampling.sample_by_month(t.replay.select("id", "issue_d"), 20, 42)
+    sample = sampling.sample_by_month(t.replay.select("id", "issue_d"), SETTINGS.monitoring.sample_per_month, 42)
     months = sample.groupBy("issue_d").agg(F.count("*").alias("n"))
     earlier = W.orderBy("issue_d").rowsBetween(W.unboundedPreceding, -1)
     offset = months.select("issue_d", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))

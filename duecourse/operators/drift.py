@@ -85,15 +85,13 @@ def bin_counts(rows: DataFrame, edges: DataFrame, registry: Registry, keep: list
 
 
 def _shares(counts: DataFrame, keep: list[str]) -> DataFrame:
-    whole = W.partitionBy(*keep, "feature")
-    return counts.select(
-        *keep,
-        "feature",
-        "bin",
-        "n",
-        F.sum("n").over(whole).alias("rows"),
-        F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).over(whole).alias("present"),
+    """Totals are summed before the shuffle and joined back: a feature with a bin per row is then
+    no single task, as it would be in a window."""
+    key = [*keep, "feature"]
+    totals = counts.groupBy(*key).agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).alias("present")
     )
+    return counts.select(*key, "bin", "n").join(totals, key)
 
 
 def _term(current: Column, reference: Column) -> Column:

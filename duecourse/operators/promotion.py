@@ -30,25 +30,41 @@ def _percent(value: Column | float) -> Column:
     return F.concat(_fixed(value * 100, 3), F.lit("%"))
 
 
+def _by_role(versions: DataFrame, *fields: str) -> DataFrame:
+    """One row ``(new, old)``: the challenger and the champion; fails if a role has two versions."""
+
+    def of(role: str) -> Column:
+        mine = F.col("role") == role
+        row = F.max(F.when(mine, F.struct(VERSION, *fields)))
+        many = F.count_if(mine) > 1
+        return F.when(many, F.raise_error(F.lit(f"more than one {role}")).cast("string")).alias(f"{role}_error"), row
+
+    checks, rows = zip(of("challenger"), of("champion"), strict=True)
+    found = versions.agg(*checks, rows[0].alias("new"), rows[1].alias("old"))
+    return found.filter("challenger_error IS NULL AND champion_error IS NULL").select("new", "old")
+
+
 def decide(evaluations: DataFrame, rules: PromotionRules) -> DataFrame:
     """``(challenger, champion, promoted, reason)`` from evaluations that carry a ``role``.
 
-    The rules apply in order; the first that fits gives the verdict.
+    The rules apply in order; the first that fits gives the verdict. Figures that are missing, or a
+    champion that costs nothing, cannot be compared and promote nobody. Several versions in one role
+    are an error.
     """
-    fields = F.struct(VERSION, "cost", "roc_auc", "ece")
-    pair = evaluations.agg(
-        F.max(F.when(F.col("role") == "challenger", fields)).alias("new"),
-        F.max(F.when(F.col("role") == "champion", fields)).alias("old"),
-    ).filter("new IS NOT NULL")
+    pair = _by_role(evaluations, "cost", "roc_auc", "ece").filter("new IS NOT NULL")
+    missing = F.col("new.cost").isNull() | F.col("new.roc_auc").isNull() | F.col("new.ece").isNull()
+    unknown = F.col("old.cost").isNull() | F.col("old.roc_auc").isNull() | (F.col("old.cost") == 0)
     drop = F.col("old.roc_auc") - F.col("new.roc_auc")
     gain = 1 - F.try_divide(F.col("new.cost"), F.col("old.cost"))
     verdicts = [
+        (missing, False, [F.lit("challenger lacks cost, ROC-AUC or ECE")]),
         (
             F.col("new.ece") > rules.max_ece,
             False,
             [F.lit("challenger ECE "), _fixed(F.col("new.ece"), 4), F.lit(f" exceeds {rules.max_ece}")],
         ),
         (F.col("old").isNull(), True, [F.lit("no champion yet (bootstrap)")]),
+        (unknown, False, [F.lit("champion has no cost or ROC-AUC to compare with")]),
         (
             F.col("new.roc_auc") < F.col("old.roc_auc") - rules.max_auc_drop,
             False,
@@ -79,11 +95,7 @@ def decide(evaluations: DataFrame, rules: PromotionRules) -> DataFrame:
 def precheck(versions: DataFrame, expected: Column) -> DataFrame:
     """``(challenger, blocked_by)`` from a table of versions ``(role, version, dirty,
     fingerprint)``: reasons not to evaluate at all, in order; NULL when there is none."""
-    fields = F.struct(VERSION, "dirty", "fingerprint")
-    pair = versions.agg(
-        F.max(F.when(F.col("role") == "challenger", fields)).alias("new"),
-        F.max(F.when(F.col("role") == "champion", fields)).alias("old"),
-    )
+    pair = _by_role(versions, "dirty", "fingerprint")
     name = F.concat(F.lit("v"), F.col("new.version"))
     blocked = (
         F.when(F.col("new.dirty"), F.concat(name, F.lit(" was logged from uncommitted code")))
@@ -100,10 +112,15 @@ def precheck(versions: DataFrame, expected: Column) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Row count and order-insensitive content sum of a table."""
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns))
-    digits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(20,0)")
+    """Row count and order-insensitive content sums of a table.
+
+    A row is hashed as JSON with its nulls, so values cannot run into each other; both halves of the
+    digest are summed.
+    """
+    row = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in columns)), {"ignoreNullFields": "false"})
+    digest = F.md5(row)
+    half = [F.conv(F.substring(digest, a, 16), 16, 10).cast("decimal(20,0)") for a in (1, 17)]
     return df.agg(
         F.count("*").alias("rows"),
-        F.sum(digits).cast("string").alias("content"),
+        F.concat_ws("-", *(F.coalesce(F.sum(h), F.lit(0)).cast("string") for h in half)).alias("content"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duecourse.functions.reasons import reason_text
+from duecourse.functions.reasons import reason_label
 from duecourse.operators.economics import Economics
 from duecourse.operators.features import derived
 from duecourse.operators.requests import DATE_FIELD
@@ -48,8 +48,8 @@ def risk_factors(contributions: dict[str, Column], values: dict[str, Column]) ->
                 F.struct(
                     (-push).alias("order"),
                     F.lit(name).alias("feature"),
-                    F.when(values[name].isNull(), f"{reason_text(name)} (not provided)")
-                    .otherwise(reason_text(name))
+                    F.when(values[name].isNull(), F.concat(reason_label(F.lit(name)), F.lit(" (not provided)")))
+                    .otherwise(reason_label(F.lit(name)))
                     .alias("description"),
                     F.round(push, 4).alias("contribution"),
                 ),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from duecourse.config import Population, TreeSettings, threshold_grid
 from duecourse.operators import economics as E
 from duecourse.operators import metrics as M
 from duecourse.operators.features import FeatureStage, Vocabulary
-from duecourse.operators.joins import aux_for
+from duecourse.operators.joins import join_one_to_one
 from duecourse.registry import KEY, LABEL, SCORE, Registry
 from duecourse.session import shared_folder, stored
 
@@ -94,16 +94,29 @@ def best_iteration(losses: list[float], patience: int) -> int:
     return best + 1
 
 
-def fit_trees(train: DataFrame, val: DataFrame, s: TreeSettings) -> GBTClassificationModel:
-    """Fit up to the cap, read the validation loss after each tree, keep the best number."""
+def fit_trees(
+    train: DataFrame, val: DataFrame, s: TreeSettings
+) -> tuple[GBTClassificationModel, list[float]]:
+    """The model of least validation loss, and the loss after each tree up to where it was given up.
+
+    Trees are fitted in doubling numbers until the loss has not fallen for ``patience`` trees, so it
+    is early stopping that ends the fit; the first trees of a longer fit are those of a shorter one.
+    """
     trees = GBTClassifier(
         labelCol=LABEL, maxIter=s.max_trees, stepSize=s.step_size, maxDepth=s.max_depth,
         minInstancesPerNode=s.min_per_leaf, subsamplingRate=s.row_share,
         featureSubsetStrategy=s.column_share, seed=s.seed, checkpointInterval=20,
     )
-    model = trees.fit(train)
-    best = best_iteration(model.evaluateEachIteration(val), s.patience)
-    return model if best == s.max_trees else trees.copy({trees.maxIter: best}).fit(train)
+    size = min(s.max_trees, 2 * s.patience)
+    while True:
+        model = trees.copy({trees.maxIter: size}).fit(train)
+        losses = list(model.evaluateEachIteration(val))
+        best = best_iteration(losses, s.patience)
+        if best + s.patience <= size or size == s.max_trees:
+            break
+        size = min(s.max_trees, 2 * size)
+    kept = model if best == size else trees.copy({trees.maxIter: best}).fit(train)
+    return kept, losses[: best + s.patience]
 
 
 def fit_calibration(scored: DataFrame):
@@ -127,6 +140,7 @@ class PolicyModel:
     economics: E.Economics
     threshold: float
     features: list[str]
+    losses: list[float] = field(default_factory=list)
 
     @property
     def trees(self) -> GBTClassificationModel:
@@ -172,7 +186,7 @@ def fit_policy_model(
     issue = F.col("issue_d")
     train, val = (loans.filter(splits[s].contains(issue)) for s in ("train", "val"))
     money = stored(
-        E.with_exposure(loans.select(KEY, LABEL).join(aux_for(loans, aux, KEY), KEY)), "money"
+        E.with_exposure(join_one_to_one(loans.select(KEY, LABEL), aux, KEY, "funded_amnt")), "money"
     )
     train_money = money.join(train.select(KEY), KEY, "left_semi")
     economics = E.estimate(train_money, population.term_months)
@@ -180,10 +194,10 @@ def fit_policy_model(
     stages = input_stages(train, registry, name)
     train_rows = training_rows(run_stages(stages, train), "train")
     val_rows = training_rows(run_stages(stages, val), "val")
-    fitted = fit_trees(train_rows, val_rows, trees)
+    fitted, losses = fit_trees(train_rows, val_rows, trees)
     calibration = fit_calibration(fitted.transform(val_rows))
     pipeline = PipelineModel([*stages, fitted, calibration])
-    model = PolicyModel(pipeline, economics, 0.0, list(registry.model_features))
+    model = PolicyModel(pipeline, economics, 0.0, list(registry.model_features), losses)
 
     amounts = money.select(KEY, E.FUNDED, E.INTEREST)
     val_scored = stored(model.score(val, (KEY, LABEL)).join(amounts, KEY), "val-scored")

@@ -104,15 +104,15 @@ def multipliers(
     """
     u, half = _tilt(F.col("size")), F.lit(limit / 2)
     words = F.col("n") * F.col("size")
-    means = bins.groupBy(F.col("source").alias("of")).agg((F.sum(words * u) / F.sum(words)).alias("u"))
-    share = F.col("target") / (F.col("source_size") * F.lit(float(limit)))
+    means = bins.groupBy(F.col("source").alias("of")).agg(F.try_divide(F.sum(words * u), F.sum(words)).alias("u"))
+    share = F.try_divide(F.col("target"), F.col("source_size") * F.lit(float(limit)))
     free = (F.col("target") < F.col("source_size") * F.lit(float(limit))) & (F.col("target") > 0)
     state = stored(
         goals.filter(free)
         .join(means, F.col("source").eqNullSafe(F.col("of")), "left")
         .select(
             "source", "source_size", "target",
-            (F.log(share / (1 - share)) / F.col("u")).alias("multiplier"),
+            F.try_divide(F.log(F.try_divide(share, 1 - share)), F.col("u")).alias("multiplier"),
             F.lit(-80.0).alias("low"), F.lit(80.0).alias("high"), F.lit(1.0).alias("gap"),
         ),
         "multipliers",
@@ -132,11 +132,11 @@ def multipliers(
         miss = F.col("words") - F.col("target")
         low = F.when(miss < 0, F.col("multiplier")).otherwise(F.col("low"))
         high = F.when(miss > 0, F.col("multiplier")).otherwise(F.col("high"))
-        newton = F.col("multiplier") - miss / F.col("slope")
+        newton = F.col("multiplier") - F.try_divide(miss, F.col("slope"))
         inside = F.coalesce((newton > F.col("new_low")) & (newton < F.col("new_high")), F.lit(False))
         state = stored(
             state.join(sums, F.col("source").eqNullSafe(F.col("of")))
-            .withColumns({"new_low": low, "new_high": high, "gap": F.abs(miss) / F.col("target")})
+            .withColumns({"new_low": low, "new_high": high, "gap": F.try_divide(F.abs(miss), F.col("target"))})
             .withColumn(
                 "multiplier",
                 F.when(F.col("gap") <= tolerance, F.col("multiplier"))

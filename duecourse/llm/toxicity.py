@@ -9,7 +9,7 @@ words and word beginnings of the text and its restored words gives the score.
 
 The model of spellings counts all texts. The regression is fitted on at most ``EXAMPLES`` labelled
 documents, chosen by a hash of the id among those the caller lets it learn from; its features are
-the ``FEATURES`` that differ most between the classes there.
+the ``FEATURES`` that differ most between the classes there, by ``SIGNIFICANT`` deviations at least.
 
 Defined cases: null and empty texts get the score of a text without any known feature; a document
 with several labels counts as toxic if one of them says so; a null label or id is not learned from;
@@ -35,6 +35,9 @@ from duecourse.llm.shingles import pieces
 
 EXAMPLES = 8_000
 FEATURES = 600
+#: Standard deviations that a feature's shares in the two classes must lie apart.
+SIGNIFICANT = 4.0
+RIDGE = 0.1
 #: Symbols of the spelling model: 0 outside words, 1 to 26 a to z, 27 any other letter.
 SYMBOLS = 28
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -52,7 +55,15 @@ _TAMPERED = re.compile(
     rf"{_SIGN}{_L}|{_L}[0-9@$|+€]|({_L})\1\1|(?<!\S)(?:(?:{_L}|{_SIGN})[ .\-_*]){{3,}}(?:{_L}|{_SIGN})(?!\w)"
 )
 #: Costs of the channel, as negative natural logarithms.
-LOOK, SKIP_SIGN, SKIP_REPEAT, KEEP_REPEAT = 1.0, 2.5, 0.5, 2.0
+LOOK, SKIP_REPEAT, KEEP_REPEAT = 1.0, 0.5, 2.0
+
+
+def skip_cost(char: str) -> float:
+    """Of a character that is no letter standing for nothing: dear for digits and the like inside
+    words, cheap for signs, least for separators."""
+    if char not in LOOKS_LIKE:
+        return 0.2
+    return 2.5 if char in "!|+(<" else 8.0
 
 
 def spelling_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -111,7 +122,7 @@ class Spelling:
                     reads = [(char, reads[0][1], KEEP_REPEAT)]
             else:
                 reads = [(c, ord(c) - 96, LOOK) for c in LOOKS_LIKE.get(char, "")]
-                skip = SKIP_SIGN if reads else 0.2
+                skip = skip_cost(char)
             last = char
             after: dict[int, tuple[float, str]] = {}
             for state, (cost, out) in paths.items():
@@ -214,11 +225,13 @@ def fitted(
     if len(size) < 2:
         share = 0.0 if not size.get(1) else 1.0
         return Model(spelling, np.zeros(0, np.uint64), np.zeros(0), math.log((share + 1e-3) / (1 - share + 1e-3)))
-    one, zero = F.sum("y") / size[1], F.sum(1 - F.col("y")) / size[0]
+    ones, zeros = F.sum("y"), F.sum(1 - F.col("y"))
+    share = (ones + zeros) / (size[1] + size[0])
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / size[1] + 1 / size[0]))
     chosen = (
         sample.select("y", F.explode("has").alias("feature"))
-        .groupBy("feature").agg((F.abs(one - zero) / F.sqrt((one + zero) / 2 + 0.002)).alias("gap"))
-        .orderBy(F.desc("gap"), "feature").limit(features).select("feature")
+        .groupBy("feature").agg((F.abs(ones / size[1] - zeros / size[0]) / spread).alias("gap"))
+        .filter(F.col("gap") >= SIGNIFICANT).orderBy(F.desc("gap"), "feature").limit(features).select("feature")
     )
     kept = np.sort(chosen.toPandas()["feature"].to_numpy(dtype=np.int64))
     few = F.array(*(F.lit(int(k)) for k in kept)) if len(kept) else F.array().cast("array<bigint>")
@@ -226,7 +239,7 @@ def fitted(
     x = np.zeros((len(table), len(kept)))
     for i, has in enumerate(table["has"]):
         x[i, np.searchsorted(kept, np.asarray(has, dtype=np.int64))] = 1
-    w = logistic(x, table["y"].to_numpy(dtype=float))
+    w = logistic(x, table["y"].to_numpy(dtype=float), ridge=RIDGE)
     return Model(spelling, kept.view(np.uint64), w[:-1], float(w[-1]))
 
 

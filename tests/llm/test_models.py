@@ -238,9 +238,9 @@ def test_restored_words_and_scores(spark, make, awkward, no_rows):
         assert toxicity.restored_words(f"so {written} then", model.spelling, {}) == meant
     assert toxicity.restored_words("nothing tampered with here, 1234.", model.spelling, {}) == ""
     got = {r["key"]: r["score"] for r in toxicity.scored(docs, model).collect()}
-    assert all((got[k] >= 0.5) == bool(t) for k, _, t in labels)
-    assert all(got[1000 + k] >= 0.5 for k in range(len(forms))), got
-    assert all(got[2000 + k] < 0.5 for k in range(5))
+    assert [k for k, _, t in labels if (got[k] >= 0.5) != bool(t)] == []
+    assert [f for k, f in enumerate(forms) if got[1000 + k] < 0.5] == []
+    assert [k for k in range(5) if got[2000 + k] >= 0.5] == []
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k in got if got[k] < 0.5}
     assert toxicity.scored(awkward, model).filter("score between 0 and 1").count() == awkward.count()
@@ -266,7 +266,7 @@ def test_best_spelling_against_all_readings():
                 readings = [(o + char, c) for o, c in readings]
             else:
                 looks = toxicity.LOOKS_LIKE.get(char, "")
-                skip = toxicity.SKIP_SIGN if looks else 0.2
+                skip = toxicity.skip_cost(char)
                 readings = [(o + x, c + toxicity.LOOK) for o, c in readings for x in looks] + [(o, c + skip) for o, c in readings]
         assert spelling.restored(written) == min(readings, key=lambda r: cost(*r))[0]
 

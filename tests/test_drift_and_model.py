@@ -100,7 +100,8 @@ def test_model_contributions_add_up_to_the_log_odds(spark, random_loans):
     stages = T.input_stages(loans, LOANS, "loans")
     rows = T.training_rows(T.run_stages(stages, loans), "model-rows")
     settings = TreeSettings(max_trees=3, step_size=0.3, max_depth=3, min_per_leaf=5, patience=2)
-    trees = T.fit_trees(rows, rows, settings)
+    trees, losses = T.fit_trees(rows, rows, settings)
+    assert len(losses) <= 3 and trees.getNumTrees == 1 + losses.index(min(losses))
     push = T.contribution_udf(trees, spark)
     table = trees.transform(rows).select(
         vector_to_array("probability")[1].alias("p"), push(vector_to_array("features")).alias("push")
@@ -115,3 +116,15 @@ def test_row_level_plans_have_no_single_task_step(spark, random_loans):
     rows = random_loans(200, 8).withColumn("pd", F.rand(1))
     plan = ordering.first_by_hash(rows, 50, 1, "id", "issue_d")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_bin_per_row_is_no_single_task(spark):
+    """A reference feature of few values whose current side has a value per row."""
+    from duecourse.operators import drift
+
+    now = spark.range(5000).select(F.lit("2015-01").alias("month"), F.lit("x").alias("feature"),
+                                   F.col("id").cast("string").alias("bin"), F.lit(1).alias("n"))
+    plan = drift._shares(now, ["month"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    row = drift._shares(now, ["month"]).agg(F.max("rows"), F.min("present"), F.count("*")).first()
+    assert tuple(row) == (5000, 5000, 5000)

@@ -199,3 +199,27 @@ def test_promotion_rules(spark, change, champion, promoted, text):
     )
     verdict = Pr.decide(table, PromotionRules()).first()
     assert verdict["promoted"] is promoted and text in verdict["reason"]
+
+
+def test_incomparable_versions_are_not_promoted(spark):
+    schema = "role string, version string, cost double, roc_auc double, ece double"
+
+    def verdict(*rows):
+        return Pr.decide(spark.createDataFrame(rows, schema), PromotionRules()).first()
+
+    new = ("challenger", "10", 90.0, 0.7, 0.01)
+    for old in (("champion", "9", 0.0, 0.7, 0.01), ("champion", "9", None, 0.7, 0.01), ("champion", "9", 99.0, None, 0.01)):
+        assert verdict(new, old)["promoted"] is False
+    assert verdict(("challenger", "10", 90.0, None, 0.01))["promoted"] is False
+    assert verdict(new)["promoted"] is True
+    with pytest.raises(Exception, match="more than one challenger"):
+        verdict(new, ("challenger", "9", 80.0, 0.7, 0.01))
+
+
+def test_fingerprints_tell_tables_apart(spark):
+    def mark(*rows):
+        return Pr.fingerprint(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).first()["content"]
+
+    tables = [[("a|b", "c")], [("a", "b|c")], [(None, "c")], [("~", "c")], [("null", "c")], [("a", None)], [("a", "")]]
+    assert len({mark(*t) for t in tables}) == len(tables)
+    assert mark(("x", "1"), ("y", "2")) == mark(("y", "2"), ("x", "1"))

@@ -11,9 +11,9 @@ whole chunks, all but some 80 bytes of it, come to ``LEAST``.
 Chunks of runs that never end one (a sign repeated) end after ``LONGEST`` bytes, counted from the
 last border.
 
-Defined cases: null and empty texts have no chunks; rows alike in key and text count as one and
-their passages as one occurrence; a passage repeated inside one text only is no repeat; other
-columns come back as they were; an empty table gives empty results.
+Defined cases: null and empty texts have no chunks; rows with one key (all without one, too) are one
+document, and a passage repeated inside one document only is no repeat; other columns come back as
+they were; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from duecourse.llm.shingles import _BYTE, _powers, mixed, pieces
 BITS = 5
 LONGEST = 4096
 LEAST = 100
+NO_KEY = 2**63 - 1
 ROLLED = 16
 _GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -92,49 +93,52 @@ def _cut_long(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, no, a, b, c1, c2``: the chunks of every row, from byte ``a`` up to ``b``."""
+    """``key, th, no, a, b, c``: the chunks of every row, from byte ``a`` up to ``b``, with a digest.
+    ``th`` is a hash of the text; a null key is the largest number."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for of, span, digests in chunked(batch.column(1)):
-                first = np.searchsorted(of, of)
+            for of, span, digests in chunked(batch.column(2)):
+                first, rows = np.searchsorted(of, of), pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(of)), pa.array((np.arange(len(of)) - first).astype(np.int32)),
-                     pa.array(span[0].astype(np.int32)), pa.array(span[1].astype(np.int32)),
-                     pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64))],
-                    names=["doc", "no", "a", "b", "c1", "c2"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows),
+                     pa.array((np.arange(len(of)) - first).astype(np.int32)), pa.array(span[0].astype(np.int32)),
+                     pa.array(span[1].astype(np.int32)), pa.array(digests[0].view(np.int64))],
+                    names=["key", "th", "no", "a", "b", "c"],
                 )
 
-    kind = "struct<unknown:boolean,key:bigint,th:bigint>"
-    return docs.select(row_id(key, text).alias("doc"), F.col(text).alias("text")).mapInArrow(
-        cut, f"doc {kind}, no int, a int, b int, c1 long, c2 long"
+    known = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key")
+    return docs.select(known, F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(
+        cut, "key long, th long, no int, a int, b int, c long"
     )
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``doc, a, b, first``: passages (bytes ``a`` up to ``b``) that another row had before, and the
-    row that owns the first chunk of them."""
+    """``key, th, a, b, first``: passages (bytes ``a`` up to ``b``) that a document with a smaller key
+    has as well, and the key that owns the first chunk of them."""
     cut = stored(chunks(docs, key, text), "chunks")
     owned = (
-        cut.groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        .filter("first <> last").select("c1", "c2", "first")
+        cut.groupBy("c").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+        .filter("first <> last").select("c", "first")
     )
-    again = cut.join(owned, ["c1", "c2"]).filter(F.col("doc") != F.col("first"))
+    again = cut.join(owned, "c").filter(F.col("key") != F.col("first"))
     # Chunks of one text in order of place: a new span begins where a number is missing.
-    order = Window.partitionBy("doc").orderBy("no")
+    order = Window.partitionBy("key", "th").orderBy("no")
     return stored(
-        again.select("doc", "no", "a", "b", "first").distinct()
+        again.select("key", "th", "no", "a", "b", "first").distinct()
         .withColumn("run", F.col("no") - F.row_number().over(order))
-        .groupBy("doc", "run")
+        .groupBy("key", "th", "run")
         .agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("first", "no").alias("first"))
-        .filter(F.col("b") - F.col("a") >= least).select("doc", "a", "b", "first"),
+        .filter(F.col("b") - F.col("a") >= least).select("key", "th", "a", "b", "first"),
         "repeats",
     )
 
 
 def cut_out(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the passages found, with the columns they had."""
-    spans = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    doc = F.struct((F.col("key") == NO_KEY).alias("unknown"),
+                   F.when(F.col("key") == NO_KEY, F.lit(0)).otherwise(F.col("key")).alias("key"), "th")
+    spans = found.groupBy(doc.alias("doc")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_id(key, text).alias("doc"))
     joined = whole.join(spans, "doc", "left")
     raw = F.encode(F.col("row")[text], "UTF-8")

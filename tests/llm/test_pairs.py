@@ -234,7 +234,7 @@ def test_repeated_passages_are_found_and_cut(make, awkward, no_rows):
     rows += [(5000 + k, prose(rng, 150)) for k in range(30)] + [(6000, "again and again " * 200)]
     docs = make(rows)
     found = substring_dedup.repeats(docs)
-    got = [(r["doc"]["key"], r["first"]["key"]) for r in found.collect()]
+    got = [(r["key"], r["first"]) for r in found.collect()]
     assert {a for a, _ in got} == {1001 + 2 * k for k in range(20)}
     assert all(b == a - 1001 for a, b in got)
     cut = {r["doc_id"]: r["text"] for r in substring_dedup.cut_out(docs, found).collect()}

@@ -48,7 +48,7 @@ ROUNDS = 2
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles of two or more sampled texts, the most frequent ones first if there are too many."""
+    """Shingles of two or more sampled texts, only the most frequent ones if there are too many."""
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,13 +59,23 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
                 [pa.array(all_.view(np.int64)), pa.array(of)], names=["shingle", "of"]
             )
 
-    found = (
+    found = stored(
         docs.select("th", "text").filter(F.pmod("th", F.lit(SAMPLE)) == 0)
         .mapInArrow(exploded, "shingle long, of long")
         .groupBy("shingle").agg(F.count("*").alias("n"), F.min("of").alias("a"), F.max("of").alias("b"))
-        .filter("a <> b").orderBy(F.desc("n"), "shingle").select("shingle").limit(FREQUENT)
+        .filter("a <> b").select("shingle", F.floor(F.log2("n")).cast("int").alias("size")),
+        "frequent",
     )
-    return np.sort(found.toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
+    # Counts by powers of two, the largest first, as long as they stay within the bound.
+    least, kept = 64, 0
+    for size, n in sorted(((r["size"], r["n"]) for r in found.groupBy("size").agg(F.count("*").alias("n")).collect()),
+                          reverse=True):
+        kept += n
+        if kept > FREQUENT:
+            break
+        least = size
+    rows = found.filter(F.col("size") >= least).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,24 +146,26 @@ def fitted(
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),
                  pa.array([s.astype(np.int32) for s in present(batch.column(2))], pa.list_(pa.int32()))],
-                names=["lang", "place", "has"],
+                names=["lang", "id", "has"],
             )
 
     place = F.pmod(F.xxhash64("text"), F.lit(2**20))
-    rows = (
+    table = (
         usable.join(F.broadcast(counts) if languages <= 100_000 else counts, "lang")
         .filter(place < share * 2**20)
-        .select("lang", place.alias("place"), "text")
-        .mapInArrow(read, "lang string, place long, has array<int>")
+        .select("lang", F.xxhash64("text").alias("id"), "text")
+        .mapInArrow(read, "lang string, id long, has array<int>")
         .filter(F.size("has") > 0)
-        .toPandas()
+        .toArrow()
     )
-    if not len(rows):
+    if not table.num_rows:
         return None
-    rows["key"] = [tuple(x) for x in rows["has"]]
-    rows = rows.sort_values(["lang", "place", "key"]).groupby("lang").head(each)
+    has = table["has"].combine_chunks()
+    cuts, values = has.offsets.to_numpy(), has.values.to_numpy()
+    rows = pd.DataFrame({"lang": table["lang"].to_pylist(), "id": table["id"].to_numpy(), "at": range(table.num_rows)})
+    rows = rows.sort_values(["lang", "id"], kind="stable").groupby("lang").head(each)
     names = sorted(rows["lang"].unique())
-    sets = [np.asarray(x, dtype=np.int64) for x in rows["has"]]
+    sets = [values[cuts[i] : cuts[i + 1]] for i in rows["at"]]
     of = np.searchsorted(names, rows["lang"].to_numpy())
     turn = rows.groupby("lang").cumcount().to_numpy()
     chosen = np.flatnonzero(turn < max(1, landmarks // len(names)))

@@ -108,84 +108,6 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    chain = quality_rules.fitted(docs, table(spark, sf_dir, "labels"), learnable(F.col("key")))
-    return quality_rules.judged(docs, chain).select(
-        F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "content_share",
-    )
-
-
-def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), learnable(F.col("key")))
-    return toxicity.scored(docs, model).select(
-        F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-    )
-
-
-def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.found(table(spark, sf_dir, "documents")).select(
-        F.when(~F.col("doc.unknown"), F.col("doc.key")).alias("doc_id"), F.col("line_no").cast("long").alias("line_no"),
-        "family", "probability", "similarity",
-    )
-
-
-def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
-    return groups.select(
-        F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-        F.col("component").alias("component_id"),
-    )
-
-
-OP10_SQL = r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM documents),
-s AS (SELECT DISTINCT doc_id, shingle FROM (
-  SELECT doc_id, unnest(CASE WHEN len(v) >= 5
-           THEN list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' '))
-           WHEN len(v) > 0 THEN [array_to_string(v, ' ')] ELSE [] END) AS shingle FROM w)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (shingle)
-      WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
-      WHERE 100 * k >= 75 * (a.n + b.n - k)),
-r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
-c AS (SELECT x, min(y) AS y FROM r GROUP BY x)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.y, d.doc_id)) AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id"""
-
-
-def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = language_id.fitted(docs, learnable(F.col("doc_id")))
-    return language_id.identified(docs, model).select(
-        F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "lang_pred", "score"
-    )
-
-
-def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = quality_classifier.fitted(docs, table(spark, sf_dir, "labels"), learnable(F.col("key")))
-    return quality_classifier.scored(docs, model).select(
-        F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score",
-        (F.col("score") >= 0.5).alias("kept"),
-    )
-
-
-def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.repeats(table(spark, sf_dir, "documents"))
-    return found.select(
-        F.when(~F.col("doc.unknown"), F.col("doc.key")).alias("doc_id"),
-        F.col("a").cast("long").alias("start_byte"), F.col("b").cast("long").alias("end_byte"),
-        F.when(~F.col("first.unknown"), F.col("first.key")).alias("first_doc_id"),
-    )
-
-
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -65,3 +65,33 @@ def test_queries_answer_every_document(spark, folder):
     path, rows = folder
     for name in ("op1_language_id", "op4_mixing", "op5_quality_classifier", "op7_quality_rules", "op8_toxicity"):
         assert llm.queries()[name](spark, path).count() == len(rows), name
+
+
+def test_registered_queries_run_and_keep_their_columns(spark, folder):
+    path, rows = folder
+    shared = "".join(f"passage number {k} is told once more here, " for k in range(12))
+    more = [(9001, "first " + shared, "en", "s0", None), (9002, "second one " + shared, "en", "s0", None)]
+    spark.createDataFrame(more, DOCS).write.mode("append").parquet(f"{path}/documents.parquet")
+    wanted = {
+        "op1_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+        "op2_decontamination": ["doc_id", "item_id", "start_word", "n_words", "similarity"],
+        "op3_line_dedup": ["doc_id", "text", "n_removed"],
+        "op4_mixing": ["doc_id", "size", "source_size", "target", "taken", "copies", "rate"],
+        "op5_quality_classifier": ["doc_id", "held_out", "score", "kept"],
+        "op6_substring_dedup": ["doc_id", "start_byte", "end_byte", "first_doc_id"],
+        "op7_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                              "base_failed", "kept", "content_share"],
+        "op8_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op9_license_scan": ["doc_id", "line_no", "family", "probability", "similarity"],
+        "op10_jaccard_join": ["doc_id", "n_shingles", "component_id"],
+    }
+    assert wanted.keys() == llm.queries().keys()
+    got = {}
+    for name, columns in wanted.items():
+        out = llm.queries()[name](spark, path)
+        assert out.columns == columns, name
+        got[name] = out.collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got["op2_decontamination"]} == {(400, 1)}
+    assert (9002, 9001) in {(r["doc_id"], r["first_doc_id"]) for r in got["op6_substring_dedup"]}
+    for name in ("op3_line_dedup", "op10_jaccard_join"):
+        assert len(got[name]) == len(rows) + len(more), name

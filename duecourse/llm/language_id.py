@@ -7,7 +7,7 @@ the kernel to the landmarks into features, in which one ridge regression per lan
 against the rest) is solved. Scoring is two products of matrices a batch: presence by landmarks gives
 the kernel, kernel by weights gives the languages.
 
-The model is fitted on at most ``EXAMPLES`` labelled texts, as many of each language as there are of
+The model is fitted on at most ``EXAMPLES`` different labelled texts, as many of each language as there are of
 it up to an equal share, chosen by a hash of the text; ``LANDMARKS`` of them in all are landmarks, at
 least one a language. n-grams count as equal if they fall on one of 2 ** 17 residues.
 
@@ -132,9 +132,10 @@ def fitted(
 ) -> Model | None:
     """The model, or nothing if no row can be learned from. ``may_learn`` is a condition on docs."""
     usable = docs.filter(may_learn & F.col(language).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(language).cast("string").alias("lang"), F.col(text).alias("text")
+        F.col(language).cast("string").alias("lang"), F.xxhash64(text).alias("id"), F.col(text).alias("text")
     )
-    counts = stored(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # Copies of a text count once, here and in the sample: all of them have one place.
+    counts = stored(usable.select("lang", "id").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
     languages = counts.count()
     if not languages:
         return None
@@ -142,20 +143,28 @@ def fitted(
     share = F.least(F.lit(1.0), F.lit(1.2 * each + 20) / F.col("n"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # as many as the sample has at most
         for batch in batches:
+            new = []
+            for i, one in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if one not in seen:
+                    seen.add(one)
+                    new.append(i)
+            some = batch.take(pa.array(new, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 pa.array([s.astype(np.int32) for s in present(batch.column(2))], pa.list_(pa.int32()))],
+                [some.column(0), some.column(1),
+                 pa.array([s.astype(np.int32) for s in present(some.column(2))], pa.list_(pa.int32()))],
                 names=["lang", "id", "has"],
             )
 
-    place = F.pmod(F.xxhash64("text"), F.lit(2**20))
+    place = F.pmod("id", F.lit(2**20))
     table = (
         usable.join(F.broadcast(counts) if languages <= 100_000 else counts, "lang")
         .filter(place < share * 2**20)
-        .select("lang", F.xxhash64("text").alias("id"), "text")
+        .select("lang", "id", "text")
         .mapInArrow(read, "lang string, id long, has array<int>")
         .filter(F.size("has") > 0)
+        .groupBy("lang", "id").agg(F.min("has").alias("has"))
         .toArrow()
     )
     if not table.num_rows:

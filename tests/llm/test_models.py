@@ -100,6 +100,18 @@ def test_language_of_held_out_texts(make, awkward):
     assert {r["lang_pred"] for r in language_id.identified(docs, None).collect()} == {"und"}
 
 
+def test_copies_of_a_text_are_one_example(spark, make):
+    rng = random.Random(12)
+    pool = spark.createDataFrame([(texts_of(rng, "xx"),) for _ in range(300)], "text string").distinct()
+    # the text that any share of rows takes in first, some thousand times
+    hot = pool.orderBy(F.pmod(F.xxhash64("text"), F.lit(2**20))).first()["text"]
+    rows = [(k, r["text"], "xx") for k, r in enumerate(pool.limit(100).collect())]
+    rows += [(1000 + k, hot, "xx") for k in range(3000)] + [(5000 + k, texts_of(rng, "yy"), "yy") for k in range(100)]
+    model = language_id.fitted(make(rows), F.lit(True), examples=80, landmarks=16)
+    assert model.kernel.landmarks.shape[1] == 16
+    assert len(np.unique(model.kernel.landmarks, axis=1).T) == 16
+
+
 def plain_grams(text):
     s = " " + re.sub(r"[^a-zà-ÿœ]+", " ", text.lower()).strip() + " "
     return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)} - {" "}

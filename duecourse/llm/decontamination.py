@@ -2,8 +2,9 @@
 
 A document leaks an item if one of its windows, as long as the item, is similar to it: the weighted
 Jaccard similarity of their five-word shingles (each weighing as often as it occurs) is at least
-``num / den``. Windows are placed so that a shingle they share with an item of their size stands at
-the same place in both, which loses nothing: without a common shingle the similarity is 0.
+``num / den``. Looked at are the windows with so many shingles of items of their size, at whatever
+places, that the similarity can be reached; a running count over their places finds these, and loses
+nothing, since no item can have more in common with a window.
 
 Each window and each item has a 64-bit SimHash of its words. Fingerprints are cut into
 ``RADIUS + 1`` blocks, so any two within the radius agree in a block; windows and items of a size
@@ -70,9 +71,25 @@ def _blocks(fingerprint: str, radius: int) -> Column:
     ))
 
 
-def _printed(df: DataFrame) -> DataFrame:
+def _starts(width: int) -> Column:
+    """Starts of the windows of ``n`` words that hold ``need`` or more of the places ``at``, in order.
+    Each belongs to the first place in its window, so none comes twice."""
+
+    def first_at(j: Column) -> Column:
+        low = F.greatest(
+            F.get("at", j + F.col("need") - 1) - (F.col("n") - width), F.coalesce(F.get("at", j - 1), F.lit(-1)) + 1
+        )
+        high = F.least(F.get("at", j), F.greatest(F.lit(0), F.col("words") - F.col("n")))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), first_at))
+
+
+def _printed(df: DataFrame, width: int) -> DataFrame:
+    """With the fingerprint, and the bag, so that a pair only intersects."""
     hashed = df.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
-    return hashed.withColumn("print", simhash(F.col("hashes"))).drop("hashes")
+    return hashed.withColumns(
+        {"print": simhash(F.col("hashes")), "bag": _bag("w", width)}).drop("hashes")
 
 
 def leaks(
@@ -91,27 +108,30 @@ def leaks(
     most similar window (the first, if several are). ``doc`` is the row as ``row_id`` names it."""
     items = stored(_printed(
         benchmark.select(F.col(item).alias("item_id"), words(folded(F.col(item_text))).alias("w"))
-        .withColumn("n", F.size("w")).filter(F.col("n") >= width)
+        .withColumn("n", F.size("w")).filter(F.col("n") >= width), width
     ), "items")
-    seeds = stored(
-        items.select("n", F.posexplode(_shingles("w", width)).alias("at", "shingle")).distinct(), "seeds"
-    )
-    found = (
+    seeds = stored(items.select("n", F.explode(_shingles("w", width)).alias("shingle")).distinct(), "seeds")
+    hits = (
         docs.select(row_id(key, text).alias("doc"), words(folded(F.col(text))).alias("w"))
         .select("doc", F.size("w").alias("words"), F.posexplode(_shingles("w", width)).alias("p", "shingle"))
         .join(hinted(seeds), "shingle")
-        .select("doc", "n", F.greatest(
-            F.lit(0), F.least(F.col("p") - F.col("at"), F.col("words") - F.col("n"))).alias("start"))
-        .distinct()
+        .groupBy("doc", "n").agg(F.max("words").alias("words"), F.sort_array(F.collect_set("p")).alias("at"))
+    )
+    # common / (shingles of both - common) >= num / den
+    both = F.least("words", "n") + F.col("n") - 2 * (width - 1)
+    found = (
+        hits.withColumn("need", F.greatest(F.lit(1), F.ceil(both * num / F.lit(num + den))).cast("int"))
+        .filter(F.size("at") >= F.col("need"))
+        .select("doc", F.struct("n", _starts(width).alias("starts")).alias("place")).filter(F.size("place.starts") > 0)
     )
-    placed = stored(found.groupBy("doc").agg(F.collect_list(F.struct("n", "start")).alias("places")), "windows")
+    placed = stored(found.groupBy("doc").agg(F.collect_list("place").alias("places")), "windows")
     texts = docs.select(row_id(key, text).alias("of"), F.col(text).alias("text"))
     windows = stored(_printed(
         texts.join(hinted(placed), F.col("of") == F.col("doc"))
         .select("doc", words(folded(F.col("text"))).alias("all"), "places").dropDuplicates(["doc"])
         .select("doc", "all", F.explode("places").alias("place"))
-        .select("doc", "place.n", "place.start",
-                F.slice("all", F.col("place.start") + 1, F.col("place.n")).alias("w"))
+        .select("doc", "all", "place.n", F.explode("place.starts").alias("start"))
+        .select("doc", "n", "start", F.slice("all", F.col("start") + 1, F.col("n")).alias("w")), width
     ), "printed")
 
     def blocks(df: DataFrame, mark: str, *also: str) -> DataFrame:
@@ -125,19 +145,18 @@ def leaks(
         .filter(apart <= radius)
         .select("doc", "start", "n", "item_id", apart.alias("distance")).distinct()
     )
-    of_window = windows.select("doc", "start", "n", F.col("w").alias("w1"))
-    of_item = items.select("item_id", "n", F.col("w").alias("w2")).dropDuplicates(["item_id", "n"])
+    of_window = windows.select("doc", "start", "n", F.size("w").alias("n_words"), F.col("bag").alias("bag1"))
+    of_item = items.select("item_id", "n", F.col("bag").alias("bag2")).dropDuplicates(["item_id", "n"])
     checked = (
         near.join(of_window, ["doc", "start", "n"]).join(of_item, ["item_id", "n"])
-        .withColumns({"bag1": _bag("w1", width), "bag2": _bag("w2", width)})
         .withColumns({
-            "common": F.size(F.array_intersect("bag1", "bag2")), "either": F.size(F.array_union("bag1", "bag2")),
+            "common": F.size(F.array_intersect("bag1", "bag2")), "both": F.size("bag1") + F.size("bag2"),
         })
-        .filter(F.col("common") * den >= F.col("either") * num)
-        .withColumn("similarity", F.col("common") / F.col("either"))
+        .filter(F.col("common") * (num + den) >= F.col("both") * num)
+        .withColumn("similarity", F.col("common") / (F.col("both") - F.col("common")))
     )
     best = F.min_by(
-        F.struct("start", F.size("w1").alias("n_words"), "similarity", "distance"),
+        F.struct("start", "n_words", "similarity", "distance"),
         F.struct(-F.col("similarity"), F.col("start")),
     )
     return stored(checked.groupBy("doc", "item_id").agg(best.alias("best")).select("doc", "item_id", "best.*"), "leaks")

@@ -187,6 +187,19 @@ def test_leaks_against_all_windows(spark, make):
     assert kept == {k for k, _ in rows} - {k for k, _ in wanted}
 
 
+def test_leaks_with_moved_parts(spark, make):
+    rng = random.Random(16)
+    item = prose(rng, 38).split()
+    moved = " ".join(item[19:] + item[:19])
+    odd = " ".join(item[30:] + item[:30])
+    rows = [(1, prose(rng, 60) + " " + moved + " " + prose(rng, 60)), (2, moved), (3, prose(rng, 7) + " " + odd),
+            (4, " ".join(item[:19]) + " " + prose(rng, 40) + " " + " ".join(item[19:])), (5, " ".join(item[:34]))]
+    items = [(1, " ".join(item)), (2, prose(rng, 38))]
+    found = decontamination.leaks(make(rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc"]["key"], r["item_id"]): r["similarity"] for r in found.collect()}
+    assert got == plain_leaks(rows, items) and {(1, 1), (2, 1), (3, 1)} <= got.keys()
+
+
 def test_leaks_of_awkward_rows(spark, awkward, no_rows):
     benchmark = spark.createDataFrame([(1, "no id here at all, really none")], "item_id long, text string")
     found = decontamination.leaks(awkward, benchmark)

@@ -3,8 +3,9 @@
 A character model of the corpus (trigram counts over the letters of all texts) says how likely a
 spelling is. Where a text looks tampered with (signs or digits inside words, letters three times in
 a row, single letters spaced out) the characters become a lattice: each may stand for the letters
-it looks like, for nothing (separators, signs), or for a repetition of the one before. The Viterbi
-path of least cost, model and channel together, is the restored word. A logistic regression over
+it looks like, for nothing (separators, signs), or for a repetition of the one before; a separator
+may also end a word. The Viterbi path of least cost, model and channel together, is the restored word,
+or several. A logistic regression over
 words and word beginnings of the text and its restored words gives the score.
 
 The model of spellings counts all texts. The regression is fitted on at most ``EXAMPLES`` labelled
@@ -52,8 +53,10 @@ LOOKS_LIKE = {
 _L = r"[^\W\d_]"
 _SIGN = r"[0-9@$!|+€(<£¥]"
 _TAMPERED = re.compile(
-    rf"{_SIGN}{_L}|{_L}[0-9@$|+€]|({_L})\1\1|(?<!\S)(?:(?:{_L}|{_SIGN})[ .\-_*]){{3,}}(?:{_L}|{_SIGN})(?!\w)"
+    rf"{_SIGN}{_L}|{_L}[0-9@$|+€]|({_L})\1\1|(?<!\S)(?:(?:{_L}|{_SIGN})[ .\-_*]){{2,}}(?:{_L}|{_SIGN})(?!\w)"
 )
+#: Between single letters these stand for nothing or for a word's end.
+SEPARATORS = " .-_*"
 #: Costs of the channel, as negative natural logarithms.
 LOOK, SKIP_REPEAT, KEEP_REPEAT = 1.0, 0.5, 2.0
 
@@ -111,7 +114,7 @@ class Spelling:
         return cls((-np.log(p)).ravel().tolist())
 
     def restored(self, written: str) -> str:
-        """The letters that ``written`` most likely stands for."""
+        """The letters that ``written`` most likely stands for, words set apart by one space."""
         costs, paths, last = self.costs, {0: (0.0, "")}, ""
         for char in written.lower():
             code = ord(char) - 96
@@ -123,18 +126,27 @@ class Spelling:
             else:
                 reads = [(c, ord(c) - 96, LOOK) for c in LOOKS_LIKE.get(char, "")]
                 skip = skip_cost(char)
+            ends = char in SEPARATORS
             last = char
             after: dict[int, tuple[float, str]] = {}
             for state, (cost, out) in paths.items():
                 if skip is not None and (state not in after or cost + skip < after[state][0]):
                     after[state] = (cost + skip, out)
+                if ends and state % SYMBOLS:
+                    total, to = cost + costs[state * SYMBOLS], state % SYMBOLS * SYMBOLS
+                    if to not in after or total < after[to][0]:
+                        after[to] = (total, out + " ")
                 for letter, symbol, price in reads:
                     total = cost + price + costs[state * SYMBOLS + symbol]
                     to = state % SYMBOLS * SYMBOLS + symbol
                     if to not in after or total < after[to][0]:
                         after[to] = (total, out + letter)
             paths = after
-        return min((cost + costs[state * SYMBOLS], out) for state, (cost, out) in paths.items())[1]
+        # a path that has just ended a word does not end it again
+        return min(
+            (cost + (0.0 if state and not state % SYMBOLS else costs[state * SYMBOLS]), out)
+            for state, (cost, out) in paths.items()
+        )[1].strip()
 
 
 def restored_words(text: str | None, spelling: Spelling, known: dict[str, str]) -> str:
@@ -160,9 +172,23 @@ def restored_words(text: str | None, spelling: Spelling, known: dict[str, str])
 
 
 def _read(written: str, spelling: Spelling) -> str:
-    """Long strings (keys, links) are read in parts, so that paths stay short."""
-    parts = re.findall(r".{1,64}", written, flags=re.S)
-    return " ".join(spelling.restored(p) for p in parts)
+    """Long strings (keys, links) are read in parts, so that paths stay short. Parts of spaced-out
+    letters overlap, so that a word of up to 32 letters is whole in one of them."""
+    if " " in written:
+        parts = [written[a : a + 256] for a in range(0, max(1, len(written) - 64), 192)]
+    else:
+        parts = re.findall(r".{1,64}", written, flags=re.S)
+    return " ".join(_with_joins(spelling.restored(p)) for p in parts)
+
+
+def _with_joins(read: str) -> str:
+    """Of several words also each two neighbours as one, and all: a word like "i" at the front of
+    another can be taken off it wrongly."""
+    w = read.split()
+    if len(w) < 2:
+        return read
+    joined = ["".join(w)] if len(w) > 2 else []
+    return " ".join([*w, *map("".join, zip(w, w[1:], strict=False)), *joined])
 
 
 @dataclass(frozen=True)

@@ -262,6 +262,21 @@ def test_restored_words_and_scores(spark, make, awkward, no_rows):
     assert toxicity.scored(awkward, blank).filter("score >= 0.5").count() == 0
 
 
+def test_spaced_words_beside_single_letters(spark, make):
+    rng = random.Random(18)
+    rows, labels = toxic_rows(rng)
+    rows = [(k, f"{t} such a {prose(rng, 1)} and you see that I {prose(rng, 1)}") for k, t in rows]
+    said = {"such a i d i o t man": "idiot", "and y o u i d i o t": "idiot", "that I i d i o t see": "idiot",
+            "so a s c u m then": "scum", "and y-o-u-i-d-i-o-t": "idiot", "so y o u see": "you"}
+    far = " ".join("andyouseethatsucha" * 12) + " i d i o t"
+    docs, marks = make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fitted(docs, marks, learnable(F.col("key")))
+    for written, meant in [*said.items(), (far, "idiot")]:
+        assert meant in toxicity.restored_words(written, model.spelling, {}).split(), written
+    bad = [(9000 + k, f"{prose(rng, 9)} {w} {prose(rng, 9)}") for k, w in enumerate(said) if w != "so y o u see"]
+    assert [r["key"] for r in toxicity.scored(make(bad), model).collect() if r["score"] < 0.5] == []
+
+
 def test_best_spelling_against_all_readings():
     rng = np.random.default_rng(9)
     spelling = toxicity.Spelling((-np.log(rng.random(toxicity.SYMBOLS**3))).tolist())

@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 HUGE_METHOD = "8000"
 # Folders made for one-process sessions, by application; removed at exit.
 _OWN_FOLDERS: dict[str, str] = {}
+# Where the frames that ``stored`` gave lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -71,4 +74,15 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     loss of executors, and later reads prune columns and partitions."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    frame = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[frame] = path
+    return frame
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of stored frames. Only for steps whose readers have been stored themselves:
+    nothing can be computed from these frames again."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(frame))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,13 @@ from duecourse.llm import (
     licenses,
     line_dedup,
     mixing,
+    packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     substring_dedup,
     toxicity,
+    vector_codes,
 )
 from duecourse.llm.common import held_out, learnable, table
 
@@ -121,6 +126,47 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs, removed="n_removed")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return rows.select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
+def looped(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The tail of one document in ten is a passage over and over: the places of the words to take."""
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if doc_id is None or h % 10 or not n:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.with_strongest(periodic_runs.runs(table(spark, sf_dir, "documents"), looped))
+    of = F.col("strongest")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    every = F.concat_ws("", F.transform(lines, lambda line: F.concat(line, F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        of["start"].alias("start"), of["length"].alias("length"), of["period"].alias("period"),
+        ((1000 * of["length"] - (1000 * of["length"]) % of["period"]) / of["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _FOLDED = """translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 _WORDS = r"""'[^\x20\x09-\x0D]+'"""
 
@@ -166,6 +212,35 @@ t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE
              count(*) FILTER (WHERE gone) AS n_removed FROM f GROUP BY doc_id)
 SELECT d.doc_id, t.text, coalesce(t.n_removed, 0) AS n_removed FROM documents d LEFT JOIN t USING (doc_id)"""
 
+_WHOLE = "CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)"
+
+
+def _lloyd(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds one after the other: parts nearest to an entry, entries from their parts."""
+    nearest = """a{k} AS MATERIALIZED (SELECT r, p.pos, min(16 * list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.x, c.x)]) + c.k) AS m
+  FROM p JOIN c{k} c ON p.pos = c.pos GROUP BY ALL)"""
+    entries = """c{n} AS MATERIALIZED (SELECT c.pos, c.k, coalesce(u.x, c.x) AS x FROM c{k} c LEFT JOIN (
+  SELECT pos, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT pos, k, i, sum(v) AS s, count(*) AS n FROM (
+      SELECT a.pos, a.m % 16 AS k, unnest(p.x) AS v, unnest(range(len(p.x))) AS i FROM a{k} a JOIN p ON a.r = p.r AND a.pos = p.pos)
+    GROUP BY ALL) GROUP BY ALL) u ON c.pos = u.pos AND c.k = u.k)"""
+    steps = [part.format(k=k, n=k + 1) for k in range(rounds) for part in (nearest, entries)]
+    return ",\n".join([*steps, nearest.format(k=rounds)])
+
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [{_WHOLE} FOR x IN embedding] AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+p AS MATERIALIZED (SELECT r, pos, e[pos * len(e) // 8 + 1:(pos + 1) * len(e) // 8] AS x FROM v, range(8) t(pos)),
+c0 AS MATERIALIZED (SELECT pos, r - 1 AS k, x FROM p WHERE r <= 16),
+{_lloyd()},
+o AS (SELECT r, string_agg(lpad(lower(hex(m % 16)), 2, '0'), '' ORDER BY pos) AS code, sum(m // 16) AS error
+      FROM a{vector_codes.ROUNDS} GROUP BY r),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY pos, k, i)) AS codebooks_sha256 FROM (
+        SELECT pos, k, unnest(x) AS x, unnest(range(len(x))) AS i FROM c{vector_codes.ROUNDS}))
+SELECT vec_id, code, CAST(error AS BIGINT) AS error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM o JOIN v USING (r), h"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -178,11 +253,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_packing": op11_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
 
 

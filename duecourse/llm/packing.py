@@ -42,11 +42,11 @@ SIZE = 2048
 KNOWN_WORDS = 400_000
 #: New words given to the tokenizer at once.
 NEW_WORDS = 4096
-#: Words with a short way to their ids, and the marks in them.
-MARKS = ".,;:!?"
-SIMPLE = re.compile(rb"([A-Za-z]+)([.,;:!?]?)")
+#: Letters with a short way to their ids, and the marks that may stand behind them.
+LETTERS = range(0x41, 0x180)
+MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 #: Bytes of text or ids worked on at once.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 
 PIECES = "doc_id long, doc_tokens long, start long, length int, task int, nth long, ids binary"
 
@@ -55,25 +55,35 @@ class WordIds:
     """Ids of texts through the ids of their words. No token reaches across ASCII white space, so the
     words of a text (few of them new) have the ids that the text has.
 
-    Most new words are ASCII letters with at most one mark behind. If the tokenizer does no more to
-    letters than to put them in lower case, and sets such marks apart, its model is asked at once,
-    without the steps before it; those take four fifths of the time.
+    Most new words are letters with marks behind. For letters that the steps before the tokenizer's
+    model map one by one (asked for here), the model is asked at once; those steps take four fifths of
+    the time.
     """
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
-        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.mapped = self._letters()
+        self.marks: dict[str, list[int]] = {"": []}
+        self.simple = re.compile(f"([{''.join(map(chr, self.mapped))}]+)([{re.escape(MARKS)}]*)") if self.mapped else None
+        self._forget()
+
+    def _letters(self) -> dict[int, str]:
+        """What the model sees of each letter; none where the letter's neighbours or marks matter."""
+        steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
 
         def pieces(text: str) -> list[str]:
-            return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
-
-        self.simple = (
-            tokenizer.normalizer is not None and tokenizer.pre_tokenizer is not None
-            and all(pieces(x) == [x.lower()] for x in (letters, letters.upper(), *letters, *letters.upper()))
-            and all(pieces(x + m) == [x, m] for x in letters for m in MARKS)
-        )
-        self.marks = {m.encode(): tokenizer.encode(m, add_special_tokens=False).ids for m in ("", *MARKS)}
-        self._forget()
+            return [p for p, _ in steps[1].pre_tokenize_str(steps[0].normalize_str(text))]
+
+        if None in steps:
+            return {}
+        found = {ord(x): pieces(x) for x in map(chr, LETTERS) if x.isalpha()}
+        found = {x: own[0] for x, own in found.items() if len(own) == 1}
+        every = "".join(map(chr, found))
+        for text in (every, every[::-1], *(m + n for m in MARKS for n in MARKS)):
+            own = text.translate(found)
+            if pieces("a" + text)[-1] != (found.get(97, "") + own if text[0].isalpha() else own):
+                return {}
+        return found
 
     def _forget(self) -> None:
         self.places: dict[bytes, int] = {}
@@ -83,13 +93,19 @@ class WordIds:
     def _learn(self, words: list[bytes]) -> None:
         flat, lengths, others = [], [], []
         # Places go on with the simple words, then the others.
-        simple, tokenize = [], self.tokenizer.model.tokenize
+        simple, stems, tokenize = [], {}, self.tokenizer.model.tokenize
         for w in words:
-            form = SIMPLE.fullmatch(w) if self.simple else None
+            form = self.simple.fullmatch(w.decode()) if self.simple else None
             if form is None:
                 others.append(w)
                 continue
-            ids = [t.id for t in tokenize(form[1].decode().lower())] + self.marks[form[2]]
+            letters, marks = form[1].translate(self.mapped), form[2]
+            if marks not in self.marks:
+                self.marks[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+            ids = stems.get(letters)
+            if ids is None:
+                ids = stems[letters] = [t.id for t in tokenize(letters)]
+            ids = ids + self.marks[marks]
             flat += ids
             lengths.append(len(ids))
             simple.append(w)
@@ -113,12 +129,14 @@ class WordIds:
             words += text.split()
             ends.append(len(words))
         coded = pa.array(words, pa.binary()).dictionary_encode()
-        different = coded.dictionary.to_pylist()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        somewhere = np.zeros(len(coded.dictionary), np.int64)
+        somewhere[which] = np.arange(len(words))
+        different = [words[i] for i in somewhere.tolist()]
         new = [w for w in different if w not in self.places]
         if new:
             self._learn(new)
-        of_different = np.fromiter(map(self.places.__getitem__, different), np.int64, len(different))
-        at = of_different[coded.indices.to_numpy(zero_copy_only=False)]
+        at = np.fromiter(map(self.places.__getitem__, different), np.int64, len(different))[which]
         first, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(first - upto[:-1], lengths) + np.arange(upto[-1])]

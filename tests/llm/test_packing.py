@@ -58,6 +58,8 @@ def test_ids_by_words_are_those_of_the_text(tokenizer):
     odd = "it's\t'S 12á ́x y 가 ΣΣ İ <|endoftext|> a<|startoftext|>b \x1c\x1d \U0001f600\U0001f600   don't!?"
     texts = [odd, "", " ", odd.replace(" ", "\n\n "), "x" * 5000, prose(rng, 400)]
     alphabet = list(odd) + list(" \t\n\x0b\x0c\r")
+    texts += [c for c in map(chr, range(0x21, 0x250))] + ["Größe, (naïve)!! ÉTÉ*** it's, x<| a|>b ĳĲŉſ"]
+    texts += ["".join(rng.choice("aZßéÀİıŉſ'.,*<|\u0301") for _ in range(rng.randint(1, 8))) for _ in range(1500)]
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
     got = list(packing.WordIds(tokenizer).of([t.encode() for t in texts]))
     for text, ids in zip(texts, got):

@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,7 +65,7 @@ class WordIds:
         self.tokenizer = tokenizer
         self.mapped = self._letters()
         self.marks: dict[str, list[int]] = {"": []}
-        self.simple = re.compile(f"([{''.join(map(chr, self.mapped))}]+)([{re.escape(MARKS)}]*)") if self.mapped else None
+        self.simple = re.compile(f"[{''.join(map(chr, self.mapped))}]+") if self.mapped else None
         self._forget()
 
     def _letters(self) -> dict[int, str]:
@@ -79,6 +80,8 @@ class WordIds:
         found = {ord(x): pieces(x) for x in map(chr, LETTERS) if x.isalpha()}
         found = {x: own[0] for x, own in found.items() if len(own) == 1}
         every = "".join(map(chr, found))
+        if not set(string.ascii_letters) <= set(every):
+            return {}
         for text in (every, every[::-1], *(m + n for m in MARKS for n in MARKS)):
             own = text.translate(found)
             if pieces("a" + text)[-1] != (found.get(97, "") + own if text[0].isalpha() else own):
@@ -94,12 +97,13 @@ class WordIds:
         flat, lengths, others = [], [], []
         # Places go on with the simple words, then the others.
         simple, stems, tokenize = [], {}, self.tokenizer.model.tokenize
-        for w in words:
-            form = self.simple.fullmatch(w.decode()) if self.simple else None
-            if form is None:
+        every = b"\n".join(words).decode()
+        for w, line, mapped in zip(words, every.split("\n"), every.translate(self.mapped).split("\n")):
+            stem = line.rstrip(MARKS)
+            if not self.simple or not (stem.isascii() and stem.isalpha() or self.simple.fullmatch(stem)):
                 others.append(w)
                 continue
-            letters, marks = form[1].translate(self.mapped), form[2]
+            letters, marks = mapped.rstrip(MARKS), line[len(stem) :]
             if marks not in self.marks:
                 self.marks[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
             ids = stems.get(letters)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duecourse.config import Retraining, Window, windows_for
 from duecourse.operators import economics as E
 from duecourse.operators import metrics as M
 from duecourse.operators.ordering import union_all
-from duecourse.registry import LABEL
+from duecourse.registry import EVENT_DATE, KEY, LABEL, SCORE
 
 PAIR = "pair"
 
@@ -42,6 +45,29 @@ def scored_pairs(found: list[tuple[str, str, Window]], score) -> DataFrame:
     )
 
 
+def scored_by_all(
+    rows: DataFrame, found: list[tuple[str, str, Window]], scores: dict[str, Column], cuts: dict[str, float],
+    keep: tuple[str, ...] = (KEY, LABEL), day: str = EVENT_DATE,
+) -> DataFrame:
+    """The long table of all pairs from one scan: each row is scored by the models that some window it
+    lies in asks for, once each, and then repeated for its pairs. ``scores`` are expressions over ``rows``."""
+    names = {model: f"score_{i}" for i, model in enumerate(scores)}
+    asked = {m: [w for model, _, w in found if model == m] for m in names}
+    once = rows.select(*keep, day, *(
+        F.when(reduce(or_, (w.contains(F.col(day)) for w in asked[m])), scores[m]).alias(n)
+        for m, n in names.items() if asked[m]
+    ))
+    entries = (
+        F.when(window.contains(F.col(day)), F.struct(
+            F.lit(f"{model}|{judge}").alias(PAIR), F.lit(model).alias("model_as_of"), F.lit(judge).alias("eval_as_of"),
+            F.lit(str(window)).alias("evaluated_on"), F.col(names[model]).alias(SCORE),
+            (F.col(names[model]) >= cuts[model]).alias("reject"),
+        ))
+        for model, judge, window in found
+    )
+    return once.select(*keep, F.inline(F.array_compact(F.array(*entries))))
+
+
 def matrix(scored: DataFrame, prices: dict[str, E.Economics]) -> DataFrame:
     """One row per pair: ranking, calibration, savings and reject rate.
 

@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +18,15 @@ from pyspark.sql import functions as F
 from duecourse.config import Population, TreeSettings, threshold_grid
 from duecourse.operators import economics as E
 from duecourse.operators import metrics as M
-from duecourse.operators.features import FeatureStage, Vocabulary
+from duecourse.operators.features import FeatureStage, Vocabulary, VocabularyModel, category_code
+from duecourse.operators.isotonic import isotonic_blocks
 from duecourse.operators.joins import join_one_to_one
+from duecourse.plans.trees import RAW, Calibration, TreeEnsemble, nodes_of, prefix_losses
 from duecourse.registry import KEY, LABEL, SCORE, Registry
-from duecourse.session import shared_folder, stored
+from duecourse.session import stored
 
-RAW = "raw_pd"
+#: Trees of the first fit; if patience has not ended by then, the next one has twice as many.
+FIRST_FIT = 48
 
 
 class MissingFill(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -83,53 +82,49 @@ def training_rows(df: DataFrame, name: str) -> DataFrame:
     return stored(rows.repartition(width, KEY).sortWithinPartitions(KEY), name)
 
 
-def best_iteration(losses: list[float], patience: int) -> int:
-    """Number of trees with the lowest loss before ``patience`` rounds pass without a new low."""
+def best_iteration(losses: list[float], patience: int, min_gain: float = 0.0) -> int:
+    """Number of trees with the lowest loss before ``patience`` rounds pass without a loss that is
+    lower by more than ``min_gain``."""
     best = 0
     for i, loss in enumerate(losses):
-        if loss < losses[best]:
+        if loss < losses[best] - min_gain:
             best = i
         elif i - best >= patience:
             break
     return best + 1
 
 
-def fit_trees(
-    train: DataFrame, val: DataFrame, s: TreeSettings
-) -> tuple[GBTClassificationModel, list[float]]:
-    """The model of least validation loss, and the loss after each tree up to where it was given up.
+def fit_trees(train: DataFrame, val: DataFrame, s: TreeSettings) -> tuple[TreeEnsemble, list[float]]:
+    """The ensemble of least validation loss, and the loss after each tree up to where it was given up.
 
-    Trees are fitted in doubling numbers until the loss has not fallen for ``patience`` trees, so it
-    is early stopping that ends the fit; the first trees of a longer fit are those of a shorter one.
+    One fit gives the ensembles of all shorter lengths; their losses come from one pass over the
+    validation rows, and the best one is the fit's first trees. Only if the loss has not stopped
+    falling at the end of a fit is a longer one made.
     """
-    trees = GBTClassifier(
-        labelCol=LABEL, maxIter=s.max_trees, stepSize=s.step_size, maxDepth=s.max_depth,
-        minInstancesPerNode=s.min_per_leaf, subsamplingRate=s.row_share,
-        featureSubsetStrategy=s.column_share, seed=s.seed, checkpointInterval=20,
-    )
-    size = min(s.max_trees, 2 * s.patience)
+    size = min(s.max_trees, max(FIRST_FIT, 2 * s.patience))
     while True:
-        model = trees.copy({trees.maxIter: size}).fit(train)
-        losses = list(model.evaluateEachIteration(val))
-        best = best_iteration(losses, s.patience)
+        trees = GBTClassifier(
+            labelCol=LABEL, maxIter=size, stepSize=s.step_size, maxDepth=s.max_depth,
+            minInstancesPerNode=s.min_per_leaf, subsamplingRate=s.row_share,
+            featureSubsetStrategy=s.column_share, seed=s.seed, checkpointInterval=20,
+        )
+        whole = TreeEnsemble.of(nodes_of(trees.fit(train), train.sparkSession))
+        losses = prefix_losses(whole, val)
+        best = best_iteration(losses, s.patience, s.min_gain)
         if best + s.patience <= size or size == s.max_trees:
-            break
+            return whole.cut(best), losses[: best + s.patience]
         size = min(s.max_trees, 2 * size)
-    kept = model if best == size else trees.copy({trees.maxIter: best}).fit(train)
-    return kept, losses[: best + s.patience]
 
 
-def fit_calibration(scored: DataFrame):
-    """Monotone map from raw to calibrated score. Rows are first merged per distinct score, with
-    the count as weight, which leaves the solution unchanged."""
-    points = scored.groupBy("probability").agg(
-        F.avg(LABEL).alias(LABEL), F.count("*").cast("double").alias("weight")
-    )
-    isotonic = IsotonicRegression(
-        featuresCol="probability", featureIndex=1, labelCol=LABEL, weightCol="weight",
-        predictionCol=SCORE,
-    )
-    return isotonic.fit(points)
+def fit_calibration(scored: DataFrame) -> Calibration:
+    """Monotone map from raw to calibrated score. Only the pooled blocks, which are the model's
+    parameters, come to the driver."""
+    return Calibration(blocks=blocks_json(isotonic_blocks(scored, RAW, LABEL)))
+
+
+def blocks_json(blocks: DataFrame) -> str:
+    rows = blocks.orderBy("low").collect()
+    return json.dumps([(b["low"], b["high"], b["total"] / b["n"]) for b in rows])
 
 
 @dataclass
@@ -143,23 +138,43 @@ class PolicyModel:
     losses: list[float] = field(default_factory=list)
 
     @property
-    def trees(self) -> GBTClassificationModel:
-        return next(s for s in self.pipeline.stages if isinstance(s, GBTClassificationModel))
+    def trees(self) -> TreeEnsemble:
+        return self._stage(TreeEnsemble)
+
+    def _stage(self, kind: type):
+        return next(s for s in self.pipeline.stages if isinstance(s, kind))
+
+    @property
+    def calibration(self) -> Calibration:
+        return self._stage(Calibration)
+
+    def inputs(self) -> list[str]:
+        """Names of the trees' inputs, in their order."""
+        return self._stage(VectorAssembler).getInputCols()
+
+    def calibrated_score(self) -> Column:
+        """The score as an expression over engineered inputs, so that one scan can score many models."""
+        codes = {f"{c}_code": category_code(c, v) for c, v in self._stage(VocabularyModel).categories.items()}
+        made = {}
+        for name, fill in json.loads(self._stage(MissingFill).getOrDefault("fills")).items():
+            value = codes.get(name, F.col(name)).cast("double")
+            made |= {f"{name}_filled": F.coalesce(value, F.lit(fill)), f"{name}_missing": value.isNull().cast("double")}
+        raw = self.trees.probability(F.array(*(made[name] for name in self.inputs())))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), self.calibration.calibrated(raw)))
 
     def policy(self) -> dict:
         return {
             "threshold": self.threshold,
             "cost_model": self.economics.to_dict(),
             "features": self.features,
-            "best_iteration": self.trees.getNumTrees,
+            "best_iteration": len(self.trees.nodes),
         }
 
     def score(self, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         """``keep..., raw_pd, pd``."""
         scored = self.pipeline.transform(df)
-        raw = vector_to_array("probability")[1]
         clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(SCORE)))
-        return scored.select(*keep, raw.alias(RAW), clipped.alias(SCORE))
+        return scored.select(*keep, RAW, clipped.alias(SCORE))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/model")
@@ -233,65 +248,14 @@ def policies(model: PolicyModel, scored: DataFrame) -> DataFrame:
 
 
 # --- why a score is what it is ---------------------------------------------------------------
-def tree_nodes(model: GBTClassificationModel, spark: SparkSession) -> pd.DataFrame:
-    """All nodes of the fitted trees: a few dozen per tree."""
-    path = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
-    model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    return nodes.select(
-        "treeID", "id", "prediction", "leftChild", "rightChild",
-        F.col("split.featureIndex").alias("feature"),
-        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
-    ).toPandas()
-
-
-def contribution_udf(model: GBTClassificationModel, spark: SparkSession):
-    """Vectorised: change of the predicted log-odds along the path of each tree, per input.
+def explained(model: PolicyModel, df: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, dict]:
+    """Scored rows with the contribution of each model input, and those columns by input.
 
     The contributions and a constant add up to the log-odds of the raw score.
     """
-    nodes = tree_nodes(model, spark).sort_values(["treeID", "id"])
-    trees = []
-    for (tree, part), weight in zip(nodes.groupby("treeID"), model.treeWeights):
-        part = part.set_index("id").reindex(range(part["id"].max() + 1))
-        columns = ("prediction", "leftChild", "rightChild", "feature", "cut")
-        trees.append((2 * weight, *(part[c].fillna(-1).to_numpy() for c in columns)))
-    shared = spark.sparkContext.broadcast((model.numFeatures, trees))  # fixed by the settings
-
-    @F.pandas_udf("array<double>")
-    def contributions(vectors: pd.Series) -> pd.Series:
-        width, all_trees = shared.value
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        x = np.stack(vectors.to_numpy())
-        total = np.zeros((len(x), width))
-        rows = np.arange(len(x))
-        for weight, value, left, right, feature, cut in all_trees:
-            at = np.zeros(len(x), dtype=int)
-            while True:
-                inner = left[at] >= 0
-                if not inner.any():
-                    break
-                here, who = at[inner], rows[inner]
-                split = feature[here].astype(int)
-                goes_left = x[who, split] <= cut[here]
-                child = np.where(goes_left, left[here], right[here]).astype(int)
-                total[who, split] += weight * (value[child] - value[here])
-                at[inner] = child
-        return pd.Series(list(total))
-
-    return contributions
-
-
-def explained(model: PolicyModel, df: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, dict]:
-    """Scored rows with the contribution of each model input, and those columns by input."""
-    push = contribution_udf(model.trees, df.sparkSession)
-    scored = model.pipeline.transform(df).withColumn("push", push(vector_to_array("features")))
-    assembler = next(s for s in model.pipeline.stages if isinstance(s, VectorAssembler))
-    parts: dict[str, list[int]] = {}
-    for i, name in enumerate(assembler.getInputCols()):
-        base = name.rsplit("_", 1)[0].removesuffix("_code")
-        parts.setdefault(base, []).append(i)
-    columns = {b: sum((F.get("push", F.lit(i)) for i in at), F.lit(0.0)) for b, at in parts.items()}
-    raw = vector_to_array("probability")[1]
-    return scored.select(*keep, raw.alias(RAW), SCORE, "push"), columns
+    bases = [name.rsplit("_", 1)[0].removesuffix("_code") for name in model.inputs()]
+    groups = list(dict.fromkeys(bases))
+    push = model.trees.contributions(vector_to_array("features"), [groups.index(b) for b in bases], len(groups))
+    scored = model.pipeline.transform(df).withColumn("push", push)
+    columns = {b: F.get("push", F.lit(i)) for i, b in enumerate(groups)}
+    return scored.select(*keep, RAW, SCORE, "push"), columns

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -10,7 +11,10 @@ from duecourse.operators import drift as D
 from duecourse.operators import ordering
 from duecourse.operators import scoring as S
 from duecourse.operators.economics import Economics
+from duecourse.operators.isotonic import isotonic_blocks
+from duecourse.plans import backtest
 from duecourse.plans import training as T
+from duecourse.plans import trees as Trees
 from duecourse.registry import LOANS
 from duecourse.session import stored
 from duecourse.sources import logs, reports
@@ -94,21 +98,80 @@ def test_flatten(spark):
     assert found == {"val.a.b": 1.0, "val.a.c.d": 2.5}
 
 
-def test_model_contributions_add_up_to_the_log_odds(spark, random_loans):
+def test_one_fit_gives_all_shorter_ones_scores_and_contributions(spark, random_loans):
     loans = random_loans(600, 7).withColumn("y", (F.coalesce("dti", F.lit(90)) > 60).cast("tinyint"))
     loans = stored(loans, "model-loans")
     stages = T.input_stages(loans, LOANS, "loans")
     rows = T.training_rows(T.run_stages(stages, loans), "model-rows")
-    settings = TreeSettings(max_trees=3, step_size=0.3, max_depth=3, min_per_leaf=5, patience=2)
+    settings = TreeSettings(max_trees=4, step_size=0.3, max_depth=3, min_per_leaf=5, patience=2)
     trees, losses = T.fit_trees(rows, rows, settings)
-    assert len(losses) <= 3 and trees.getNumTrees == 1 + losses.index(min(losses))
-    push = T.contribution_udf(trees, spark)
-    table = trees.transform(rows).select(
-        vector_to_array("probability")[1].alias("p"), push(vector_to_array("features")).alias("push")
-    ).toPandas()
-    constant = np.log(table["p"] / (1 - table["p"])) - table["push"].map(sum)
-    assert constant.std() < 1e-9
+    assert len(losses) <= 4 and len(trees.nodes) == 1 + losses.index(min(losses))
+    shape = dict(labelCol="y", stepSize=0.3, maxDepth=3, minInstancesPerNode=5, subsamplingRate=0.8,
+                 featureSubsetStrategy="0.8", seed=42, checkpointInterval=20)
+    x = vector_to_array("features")
+    for size in (1, 2, 4):
+        model = GBTClassifier(maxIter=size, **shape).fit(rows)
+        own = Trees.TreeEnsemble.of(Trees.nodes_of(model, spark))
+        if size < len(trees.nodes):
+            assert own.nodes == trees.cut(size).nodes
+        groups = [i % 5 for i in range(model.numFeatures)]
+        got = model.transform(rows).select(
+            vector_to_array("probability")[1].alias("spark"), own.probability(x).alias("own"),
+            own.contributions(x, groups, 5).alias("push"), own.running(x).alias("running"),
+        ).toPandas()
+        assert np.abs(got["spark"] - got["own"]).max() < 1e-12
+        rest = np.log(got["own"] / (1 - got["own"])) - got["push"].map(sum)
+        assert rest.std() < 1e-9 and set(got["running"].map(len)) == {size}
+        assert np.abs(model.evaluateEachIteration(rows)[-1] / 2 - Trees.prefix_losses(own, rows)[-1]) < 1e-9
+    plan = rows.select(own.probability(x).alias("p"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "from_json" not in plan
+
+
+def test_patience_and_least_gain():
     assert T.best_iteration([3.0, 2.0, 2.5, 2.6, 1.0], patience=2) == 2
+    assert T.best_iteration([3.0, 2.0, 1.99, 1.98, 1.0], patience=2, min_gain=0.1) == 2
+    assert T.best_iteration([3.0, 2.0, 1.99, 1.0], patience=2, min_gain=0.1) == 4
+
+
+@pytest.mark.parametrize("kind", ["noise", "falling", "rising", "one score", "nothing"])
+def test_isotonic_fit_is_the_max_min_of_means(spark, kind):
+    rng = np.random.default_rng(5)
+    score = {"one score": np.full(50, 0.5), "nothing": np.zeros(0)}.get(kind, np.round(rng.random(900), 3))
+    chance = {"falling": 1 - score, "noise": np.full(len(score), 0.3)}.get(kind, score)
+    y = (rng.random(len(score)) < chance).astype(int)
+    rows = spark.createDataFrame([(float(s), int(v)) for s, v in zip(score, y)] + [(None, 1), (0.5, None)], "s double, y int")
+    blocks = isotonic_blocks(rows, "s", "y")
+    calibration = Trees.Calibration(blocks=T.blocks_json(blocks))
+    points = sorted(set(score.tolist()))
+    sums = np.array([[y[score == p].sum(), (score == p).sum()] for p in points]).reshape(-1, 2).cumsum(0)
+    sums = np.vstack([[0, 0], sums])
+    means = {(a, b): (sums[b + 1] - sums[a])[0] / (sums[b + 1] - sums[a])[1]
+             for a in range(len(points)) for b in range(a, len(points))}
+    worst = np.full((len(points), len(points) + 1), np.inf)  # least mean from a to the end or beyond
+    for a in range(len(points)):
+        for b in reversed(range(a, len(points))):
+            worst[a, b] = min(means[a, b], worst[a, b + 1])
+    got = {r["s"]: r["c"] for r in rows.filter("s IS NOT NULL").select("s", calibration.calibrated(F.col("s")).alias("c")).distinct().collect()}
+    for b, p in enumerate(points):
+        assert abs(got[p] - max(worst[a, b] for a in range(b + 1))) < 1e-12
+    if kind == "falling":
+        assert blocks.count() < 10
+    if points and kind != "one score":
+        ends = spark.createDataFrame([(-1.0,), (2.0,), ((points[3] + points[4]) / 2,)], "s double")
+        low, high, middle = (r[0] for r in ends.select(calibration.calibrated(F.col("s"))).collect())
+        assert (low, high) == (got[points[0]], got[points[-1]])
+        assert abs(middle - (got[points[3]] + got[points[4]]) / 2) < 1e-9
+
+
+def test_one_scan_scores_all_pairs(spark):
+    a, b = (Window.of(*w) for w in (("2015-01", "2015-03"), ("2015-03", "2015-04")))
+    rows = spark.sql("SELECT id, 0 AS y, add_months(DATE '2015-01-01', CAST(id AS INT)) AS issue_d, id / 10D AS x FROM range(6)")
+    found = [("m1", "m1", a), ("m1", "m2", b), ("m2", "m2", b)]
+    out = backtest.scored_by_all(rows, found, {"m1": F.col("x"), "m2": F.col("x") + 1}, {"m1": 0.2, "m2": 1.25})
+    got = sorted((r["pair"], r["id"], r["pd"], r["reject"]) for r in out.collect())
+    assert got == [("m1|m1", 0, 0.0, False), ("m1|m1", 1, 0.1, False), ("m1|m1", 2, 0.2, True),
+                   ("m1|m2", 2, 0.2, True), ("m1|m2", 3, 0.3, True), ("m2|m2", 2, 1.2, False), ("m2|m2", 3, 1.3, True)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
 
 
 def test_row_level_plans_have_no_single_task_step(spark, random_loans):

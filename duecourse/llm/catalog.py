@@ -177,17 +177,17 @@ ib AS (SELECT item_id, len(w) AS n, p, array_to_string(w[p + 1:p + 5], ' ') AS s
 d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_WORDS}) AS w FROM documents),
 ds AS (SELECT doc_id, len(w) AS words, p, array_to_string(w[p + 1:p + 5], ' ') AS s
        FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
-wn AS (SELECT DISTINCT doc_id, ib.n, greatest(0, least(ds.p - ib.p, words - ib.n)) AS start
-       FROM ds JOIN ib USING (s)),
-wb AS (SELECT doc_id, n, start, s, count(*) AS k FROM wn JOIN ds USING (doc_id)
-       WHERE ds.p >= start AND ds.p <= start + n - 5 GROUP BY ALL),
 ic AS (SELECT item_id, n, s, count(*) AS k FROM ib GROUP BY ALL),
-wl AS (SELECT doc_id, n, start, sum(k) AS total FROM wb GROUP BY ALL),
-m AS (SELECT doc_id, item_id, wb.n, start, sum(least(wb.k, ic.k)) AS common
-      FROM wb JOIN ic ON wb.n = ic.n AND wb.s = ic.s GROUP BY ALL),
-r AS (SELECT doc_id, item_id, start, least(n, len(w) - start) AS n_words,
-             common, total + n - 4 - common AS either
-      FROM m JOIN wl USING (doc_id, n, start) JOIN d USING (doc_id))
+h AS (SELECT doc_id, item_id, n, words, ds.p, s FROM ds JOIN ic USING (s)),
+c AS (SELECT DISTINCT doc_id, item_id, n, words,
+             unnest(range(greatest(0, p - n + 5), least(p, greatest(0, words - n)) + 1)) AS start FROM h),
+wk AS (SELECT c.doc_id, c.item_id, c.n, c.words, c.start, h.s, count(*) AS k
+       FROM c JOIN h ON c.doc_id = h.doc_id AND c.item_id = h.item_id AND c.n = h.n AND h.p BETWEEN c.start AND c.start + c.n - 5
+       GROUP BY ALL),
+m AS (SELECT doc_id, item_id, wk.n, words, start, sum(least(wk.k, ic.k)) AS common
+      FROM wk JOIN ic USING (item_id, n, s) GROUP BY ALL),
+r AS (SELECT doc_id, item_id, start, least(n, words) AS n_words,
+             common, least(n, words) - 4 + n - 4 - common AS either FROM m)
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(n_words AS BIGINT) AS n_words,
        CAST(common AS DOUBLE) / CAST(either AS DOUBLE) AS similarity
 FROM r WHERE common * 100 >= either * 75

@@ -28,7 +28,7 @@ class Inputs:
     """The frames most queries start from; all lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = tuned(spark), sf_dir
+        self.spark, self.sf_dir, self.kept = tuned(spark), sf_dir, False
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -37,6 +37,11 @@ class Inputs:
     def raw(self) -> DataFrame:
         return standin.raw_loans(self.spark, self.sf_dir)
 
+    def keep_raw(self) -> None:
+        """Write the raw loans, for queries that clean them more than once."""
+        if not self.kept:
+            self.raw, self.kept = stored(self.raw, "raw"), True
+
     @cached_property
     def raw_mixed(self) -> DataFrame:
         return standin.raw_with_headers(self.spark, self.sf_dir)

@@ -150,17 +150,23 @@ def month_text(df):
     return df.withColumn("month", P.year_month(F.col("month")))
 
 
-def drift_table(t):
+def seen(t):
+    """The monitored rows as a narrow written table: bins and rates read it, not the raw loans."""
+    return stored(D.monitored(served(t), STANDIN), "monitored")
+
+
+def drift_table(t, rows=None):
+    t.keep_raw()
     base = D.monitored(reference(t), STANDIN)
-    edges = D.reference_edges(base, STANDIN)
-    current = D.bin_counts(D.monitored(served(t), STANDIN), edges, STANDIN, ["month"])
-    counts = stored(current, "bin-counts")
-    return D.feature_drift(counts, stored(D.bin_counts(base, edges, STANDIN, []), "base-counts"))
+    edges = stored(D.reference_edges(base, STANDIN), "edges")
+    counts = stored(D.bin_counts(rows or seen(t), edges, STANDIN, ["month"]), "bin-counts")
+    return D.feature_drift(counts, D.sample_counts(base, edges, STANDIN))
 
 
 def summary(t):
-    rates = D.decision_rates(D.monitored(served(t), STANDIN))
-    return D.monthly_summary(drift_table(t), rates, RULES)
+    t.keep_raw()
+    rows = seen(t)
+    return D.monthly_summary(drift_table(t, rows), D.decision_rates(rows), RULES)
 
 
 @query(
@@ -217,12 +223,13 @@ def d6(t):
 @query(
     "w8_top_by_month",
     f"""SELECT {MONTH}, feature, place FROM (SELECT month, feature,
-          row_number() OVER (PARTITION BY month ORDER BY psi DESC, feature) AS place FROM {{psi}} WHERE feature <> 'pd') q WHERE place <= 5""",
+          row_number() OVER (PARTITION BY month ORDER BY round(psi, 9) DESC, feature) AS place FROM {{psi}} WHERE feature <> 'pd') q WHERE place <= 5""",
 )
 def w8(t):
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("month").orderBy(F.desc("psi"), "feature")
+    # Rounded: features that are the same in a month tie, whatever the order of their sums.
+    order = W.partitionBy("month").orderBy(F.round("psi", 9).desc(), "feature")
     rows = drift_table(t).filter("feature <> 'pd'").withColumn("place", F.row_number().over(order))
     return month_text(rows.filter("place <= 5").select("month", "feature", "place"))
 

@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 from duecourse.config import Monitoring
 from duecourse.operators.features import engineer
+from duecourse.operators.ordering import union_all
 from duecourse.registry import EVENT_DATE, SCORE, Registry
 
 FEW_VALUES = 20
+# Values of a feature that are listed, counters of one aggregate, and codes of cells without a bin.
+LISTED, COUNTERS = 64, 256
+MISSING, UNSEEN = -1, -2
 DECILES = [i / 10 for i in range(1, 10)]
 EMPTY_SHARE = 1e-4
 TOP_N = 5
@@ -52,36 +56,76 @@ def _long(rows: DataFrame, registry: Registry, keep: list[str]) -> DataFrame:
 
 
 def reference_edges(reference: DataFrame, registry: Registry) -> DataFrame:
-    """``(feature, edges)``: decile edges, or NULL where every value is its own bin.
+    """``(feature, edges, known)``: decile edges, or NULL where every value is its own bin.
 
-    The reference is a sample of fixed size, so exact percentiles per feature stay small.
+    The reference is a sample of fixed size, so exact percentiles per feature stay small. ``known`` lists
+    the values of a feature that has few.
     """
     share = ", ".join(f"percentile_disc({d}) WITHIN GROUP (ORDER BY value)" for d in DECILES)
     per_feature = _long(reference, registry, []).groupBy("feature").agg(
         F.count_distinct("value").alias("n_values"),
         F.expr(f"array({share})").alias("edges"),
+        F.array_sort(F.collect_set(F.coalesce(F.col("value").cast("string"), F.col("text")))).alias("known"),
     )
-    edges = F.when(F.col("n_values") > FEW_VALUES, F.array_sort(F.array_distinct("edges")))
-    return per_feature.select("feature", edges.alias("edges"))
+    many = F.col("n_values") > FEW_VALUES
+    edges = F.when(many, F.array_sort(F.array_distinct("edges")))
+    known = F.when(~many & (F.size("known") <= LISTED), F.col("known"))
+    return per_feature.select("feature", edges.alias("edges"), known.alias("known"))
 
 
-def bin_counts(rows: DataFrame, edges: DataFrame, registry: Registry, keep: list[str]) -> DataFrame:
-    """``(keep..., feature, bin, n)``; a missing value has a NULL bin.
-
-    ``edges`` has one row of at most nine numbers per feature, so it is broadcast.
-    """
-    long = _long(rows, registry, keep).join(F.broadcast(edges), "feature")
+def sample_counts(rows: DataFrame, edges: DataFrame, registry: Registry) -> DataFrame:
+    """``(feature, bin, n)`` of a small sample such as the reference: its cells are unfolded."""
+    long = _long(rows, registry, []).join(F.broadcast(edges.drop("known")), "feature")
     number = F.col("value")
-    passed = sum(
-        (F.coalesce((F.get("edges", F.lit(i)) < number).cast("int"), F.lit(0)) for i in range(9)),
-        F.lit(0),
-    )
+    passed = F.size(F.filter("edges", lambda edge: edge < number))
     bin_name = (
         F.when(number.isNotNull() & F.col("edges").isNotNull(), passed.cast("string"))
-        .when(number.isNotNull(), number.cast("string"))
-        .otherwise(F.col("text"))
+        .otherwise(F.coalesce(number.cast("string"), "text"))
     )
-    return long.groupBy(*keep, "feature", bin_name.alias("bin")).agg(F.count("*").alias("n"))
+    return long.groupBy("feature", bin_name.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def bin_counts(rows: DataFrame, edges: DataFrame, registry: Registry, keep: list[str]) -> DataFrame:
+    """``(keep..., feature, bin, n)``; a missing value has a NULL bin.
+
+    Rows are not unfolded: one projection gives the bin numbers of a row, and the bins that the reference
+    knows, a few hundred in all, are counters of one aggregate by ``keep``. Only values that the
+    reference does not have, and features of very many values, are counted value by value.
+    """
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    codes, bins, texts = [], [], []
+    for at, row in enumerate(edges.collect()):  # a row a feature
+        name = f"`{row['feature']}`"
+        if row["edges"] is not None:
+            passed = " + ".join(f"int(double({name}) > {edge!r}D)" for edge in row["edges"])
+            code, known = f"coalesce({passed}, {MISSING})", [str(i) for i in range(len(row["edges"]) + 1)]
+        else:
+            text, known = name if row["feature"] in registry.categorical else f"string(double({name}))", row["known"] or []
+            places = " ".join(f"WHEN {quoted(v)} THEN {k}" for k, v in enumerate(known))
+            listed = f"CASE {text} {places} ELSE {UNSEEN} END" if known else str(UNSEEN)
+            code = f"CASE WHEN {name} IS NULL THEN {MISSING} ELSE {listed} END"
+            texts.append(f"IF({code} = {UNSEEN}, named_struct('feature', {quoted(row['feature'])}, 'bin', {text}), NULL)")
+        codes.append(f"smallint({code}) AS bin_{at}")
+        bins += [(row["feature"], at, k, label) for k, label in enumerate([None, *known], MISSING)]
+    kept = [f"`{c}`" for c in keep]
+    coded, parts = rows.selectExpr(*kept, *codes), []
+    for start in range(0, len(bins), COUNTERS):
+        part = bins[start : start + COUNTERS]
+        counted = coded.groupBy(*keep).agg(
+            *(F.expr(f"count(IF(bin_{at} = {k}, 1, NULL)) AS n_{i}") for i, (_, at, k, _) in enumerate(part))
+        )
+        cells = ", ".join(
+            f"named_struct('feature', {quoted(name)}, 'bin', {'string(NULL)' if label is None else quoted(label)}, 'n', n_{i})"
+            for i, (name, _, _, label) in enumerate(part)
+        )
+        parts.append(counted.selectExpr(*kept, f"inline(array({cells}))").filter("n > 0"))
+    if texts:
+        others = rows.selectExpr(*kept, f"array_compact(array({', '.join(texts)})) AS cells").filter("size(cells) > 0")
+        parts.append(others.selectExpr(*kept, "inline(cells)").groupBy(*keep, "feature", "bin").agg(F.count("*").alias("n")))
+    return union_all(parts)
 
 
 def _shares(counts: DataFrame, keep: list[str]) -> DataFrame:

@@ -16,8 +16,9 @@ from duecourse.operators import scoring as S
 from duecourse.operators import windows as Wn
 from duecourse.plans.standin import standin_score
 from duecourse.registry import STANDIN
-from duecourse.session import shared_folder
+from duecourse.session import shared_folder, stored
 from duecourse.sources import logs, raw, reports
+from duecourse.streaming import live
 from duecourse.streaming import scoring as stream
 
 
@@ -209,11 +210,14 @@ def t2(t):
     "SELECT strftime(month, '%Y-%m') AS month, loans, mean_pd, reject_rate, refer_rate FROM {monthly}",
 )
 def t3(t):
-    name = f"rates_{uuid.uuid4().hex}"
-    rows = logs.served_applications(logs.stream_log(t.spark, write_log(t)), STANDIN)
-    stream.live_decision_rates(rows, name, fresh(t, "progress")).awaitTermination()
-    table = t.spark.table(name)
-    return table.withColumn("month", P.year_month(F.col("month")))
+    """The live table after all batches, one of them written twice, and after a compaction."""
+    table = live.decision_table(fresh(t, "rates")).create(t.spark)
+    rows = logs.served_applications(logs.stream_log(t.spark, write_log(t), files_per_batch=4), STANDIN)
+    stream.live_decision_rates(rows, table, fresh(t, "progress")).awaitTermination()
+    again = table.by_batch(t.spark).filter("batch_id = 0").drop("batch_id")
+    table.write(stored(again, "repeated"), 0)
+    table.compact(t.spark)
+    return stream.live_rates(t.spark, table).withColumn("month", P.year_month(F.col("month")))
 
 
 @query(
@@ -227,3 +231,24 @@ def x9(t):
     read = stream.request_stream(t.spark, requests, STANDIN)
     stream.score_to_log(read, decide, STANDIN, log, fresh(t, "progress")).awaitTermination()
     return logs.raw_log(t.spark, log).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query(
+    "x9_replay_ledger",
+    """WITH m AS (SELECT strftime(issue_d, '%Y-%m') AS month, count(*) AS loans FROM {replay} GROUP BY 1),
+       c AS (SELECT *, (loans + 499) // 500 AS batches FROM m)
+       SELECT month, loans, batches, least(loans, 500) AS largest,
+              CAST(sum(batches) OVER (ORDER BY month) - batches AS BIGINT) AS first_batch,
+              CAST(sum(batches) OVER (ORDER BY month) - 1 AS BIGINT) AS last_batch FROM c""",
+)
+def x9_ledger(t):
+    """The order in which a replay came and the size of its chunks, from the ledger of its batches."""
+    requests = fresh(t, "requests")
+    stream.write_requests_by_month(t.replay, STANDIN, requests)
+    table = live.ledger(fresh(t, "ledger")).create(t.spark)
+    lines = stream.body_stream(t.spark, requests, files_per_batch=1)
+    stream.record_arrivals(lines, table, fresh(t, "progress")).awaitTermination()
+    return table.by_batch(t.spark).groupBy("month").agg(
+        F.sum("n_rows").alias("loans"), F.count("*").alias("batches"), F.max("n_rows").alias("largest"),
+        F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"),
+    )

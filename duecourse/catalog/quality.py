@@ -156,6 +156,15 @@ def w1(t):
     return found.select(rank.cast("bigint").alias("place"), "id", "pd")
 
 
+@query(
+    "w1_rank_of_every_row",
+    "SELECT id, pd, row_number() OVER (ORDER BY pd, id) AS place FROM {scored}",
+)
+def w1_all(t):
+    rows = t.kept_scores.select("id", "pd").withColumn("all_rows", F.lit("all"))
+    return ordering.row_places(rows, "pd", "id", "all_rows").select("id", "pd", "place")
+
+
 @query(
     "w2_average_rank",
     """SELECT pd, min(r) - 1 AS before_n, count(*) AS n, avg(r) AS average_rank FROM {binned} GROUP BY pd""",

@@ -163,6 +163,29 @@ def order_statistics(
     )
 
 
+def row_places(df: DataFrame, value: str, tie: str, key: str) -> DataFrame:
+    """Every row with a value, and its ``place`` from 1 in the order by (value, tie) of its key.
+
+    A row's place is the number of smaller values of the key, which ranges give, and its place among
+    the rows of its value. Rows of a value that few share are ordered together; a value held by more
+    than 1/256 of the rows is cut into ranges of ``tie``, so that no task gets more than its range.
+    """
+    columns = df.columns
+    ranked = stored(running_totals(distinct_values(df, value, key), value, key, ["n"]), "value-places")
+    placed = stored(attach(df, ranked, [key, value]), "placed")
+    heavy = F.col("n") * HEAVY_SHARE > F.col("total_n")
+    inside = W.partitionBy(key, value).orderBy(tie)
+    few = placed.filter(~heavy).withColumn("place", F.col("before_n") + F.row_number().over(inside))
+    many = placed.filter(heavy).withColumn("tie_key", F.concat_ws("\x00", F.col(key), F.col(value).cast("string")))
+    ties = running_totals(distinct_values(many, tie, "tie_key"), tie, "tie_key", ["n"])
+    ties = ties.select("tie_key", tie, F.col("before_n").alias("before_tie"))
+    alike = W.partitionBy("tie_key", tie).orderBy(value)
+    cut = many.join(ties, ["tie_key", tie]).withColumn(
+        "place", F.col("before_n") + F.col("before_tie") + F.row_number().over(alike)
+    )
+    return few.select(*columns, "place").unionByName(cut.select(*columns, "place"))
+
+
 def percentiles(df: DataFrame, value: str, key: str, shares: list[float]) -> DataFrame:
     """Exact interpolated percentiles per key: ``key, p0, p1, ...`` in the order of ``shares``."""
     ranked = running_totals(distinct_values(df, value, key), value, key, ["n"])

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from duecourse.operators import drift, scoring
+from duecourse.operators import drift, ordering, scoring
 from duecourse.operators import requests as R
-from duecourse.registry import EVENT_DATE, Registry
+from duecourse.registry import EVENT_DATE, KEY, SCORE, Registry
 from duecourse.session import stored
+from duecourse.streaming.live import LiveTable
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -20,13 +21,15 @@ def request_stream(
     spark: SparkSession, path: str, registry: Registry, files_per_batch: int = 1000
 ) -> DataFrame:
     """JSON bodies, one per line, checked against the request contract."""
-    lines = (
+    return R.read_requests(body_stream(spark, path, files_per_batch).withColumnRenamed("value", "body"), registry)
+
+
+def body_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         .option("recursiveFileLookup", "true")
         .text(path)
-        .withColumnRenamed("value", "body")
     )
-    return R.read_requests(lines, registry)
 
 
 def score_to_log(
@@ -78,12 +81,7 @@ def count_bins(
         counts = drift.bin_counts(drift.monitored(batch, registry), edges, registry, ["month"])
         counts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (
-        served.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(served, write, checkpoint)
 
 
 def counted_bins(spark: SparkSession, path: str) -> DataFrame:
@@ -95,33 +93,67 @@ def counted_bins(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def live_decision_rates(served: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Decision rates per event month, kept up to date; state is one row per month."""
-    month = served.withColumn("month", F.trunc(EVENT_DATE, "MM"))
+def live_decision_rates(served: DataFrame, table: LiveTable, checkpoint: str) -> StreamingQuery:
+    """Decision counts per event month, added to a live table; no state is held."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        def count(decision: str) -> Column:
+            return F.count_if(F.col("decision") == decision)
+
+        months = batch.groupBy(F.trunc(EVENT_DATE, "MM").alias("month")).agg(
+            F.count("*").alias("loans"), F.sum(SCORE).alias("pd_sum"),
+            count("reject").alias("rejected"), count("refer").alias("referred"),
+        )
+        table.write(months, batch_id)
+
+    return _each_batch(served, write, checkpoint)
+
+
+def live_rates(spark: SparkSession, table: LiveTable) -> DataFrame:
+    """``month, loans, mean_pd, reject_rate, refer_rate`` as ``drift.decision_rates`` gives them."""
+    rows = F.col("loans")
+    rates = {"mean_pd": "pd_sum", "reject_rate": "rejected", "refer_rate": "referred"}
+    return table.read(spark).select("month", "loans", *(F.round(F.col(c) / rows, 4).alias(n) for n, c in rates.items()))
+
+
+def _each_batch(frame: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
-        drift.decision_rates(month)
-        .writeStream.format("memory")
-        .queryName(name)
+        frame.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
         .trigger(availableNow=True)
         .start()
     )
 
 
+def record_arrivals(lines: DataFrame, table: LiveTable, checkpoint: str) -> StreamingQuery:
+    """A ledger row for each batch and month of the request bodies in ``value``. The month is read from
+    the body's date alone: the request contract, checked where the bodies are scored, is not needed."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        month = F.substring(F.get_json_object("value", f"$.{R.DATE_FIELD}"), 1, 7)
+        table.write(batch.groupBy(month.alias("month")).agg(F.count("*").alias("n_rows")), batch_id)
+
+    return _each_batch(lines, write, checkpoint)
+
+
 def write_requests_by_month(
     loans: DataFrame, registry: Registry, path: str, chunk: int = 500
 ) -> list[str]:
     """Write loans as request files, month after month, and return the months.
 
     A file stream takes files in the order in which they were written, so it replays the months in
-    order. The loans are stored by month once; the loop then reads only the month it writes.
+    order. A file holds ``chunk`` loans, the last one of a month what is left: loans are numbered within
+    their month by ranges of the id, so no month has to go through one task. The loans are stored by
+    month once; the loop then reads only the month it writes.
     """
     month = F.date_format(EVENT_DATE, "yyyy-MM")
-    body = loans.select(month.alias("month"), R.request_json(registry).alias("body"))
-    by_month = stored(body, "replay", ("month",))
-    months = sorted(r["month"] for r in by_month.select("month").distinct().collect())
-    for name in months:
-        rows = by_month.filter(F.col("month") == name).select("body")
-        rows.write.option("maxRecordsPerFile", chunk).text(f"{path}/{name}")
-    return months
+    body = stored(loans.select(month.alias("month"), KEY, R.request_json(registry).alias("body")), "bodies")
+    places = ordering.running_totals(ordering.distinct_values(body, KEY, "month"), KEY, "month", ["n"])
+    chunks = places.select("month", KEY, F.floor(F.col("before_n") / chunk).cast("int").alias("chunk"))
+    by_month = stored(body.join(chunks, ["month", KEY]).drop(KEY), "replay", ("month",))
+    last = {r["month"]: r["last"] for r in by_month.groupBy("month").agg(F.max("chunk").alias("last")).collect()}
+    for name in sorted(last):
+        rows = by_month.filter(F.col("month") == name)
+        # A task a chunk, and no task without rows, which would write an empty file.
+        rows.repartitionById(last[name] + 1, F.col("chunk")).select("body").write.text(f"{path}/{name}")
+    return sorted(last)

@@ -40,16 +40,16 @@ ROWS = 128
 _KEPT: dict[str, np.ndarray] = {}
 
 
+def _letter(code: int) -> int:
+    """The lower case of a letter, 0 for any other code point."""
+    low = chr(code).lower()
+    return 0 if not chr(code).isalpha() else ord(low) if len(low) == 1 else code
+
+
 def _letters() -> np.ndarray:
-    """For each code point below 65,536 its lower case if it is a letter, else 0; made once."""
+    """``_letter`` of each code point below 65,536; made once."""
     if "table" not in _KEPT:
-        table = np.zeros(1 << 16, dtype=np.uint32)
-        for code in range(1 << 16):
-            char = chr(code)
-            if char.isalpha():
-                low = char.lower()
-                table[code] = ord(low) if len(low) == 1 else code
-        _KEPT["table"] = table
+        _KEPT["table"] = np.array([_letter(code) for code in range(1 << 16)], dtype=np.uint32)
     return _KEPT["table"]
 
 
@@ -60,7 +60,11 @@ def present(column: pa.Array) -> Iterator[np.ndarray]:
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
         begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         cuts = begun[offsets]
-        low = np.where(points < 1 << 16, table[np.minimum(points, (1 << 16) - 1)], points)
+        low = table[np.minimum(points, (1 << 16) - 1)]
+        high = points >= 1 << 16
+        if high.any():
+            codes, which = np.unique(points[high], return_inverse=True)
+            low[high] = np.array([_letter(c) for c in codes.tolist()], dtype=np.uint32)[which]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             s = low[a:b]
             if not s.any():

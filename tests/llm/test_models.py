@@ -328,3 +328,14 @@ def test_pieces_give_whole_texts():
         for data, offsets in pieces(column, limit=60):
             out += [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:])]
         assert out == [t or "" for t in texts]
+
+
+def test_only_letters_of_any_plane_count_for_a_language():
+    import pyarrow as pa
+
+    from duecourse.llm import language_id
+
+    texts = ["\U0001f600 \U0001f680\U0001f680 12 !", "\U0001f600a\U0001f600", "a", "\U00010400b", "\U00010428B", "\U0001d7d8", None]
+    found = [x.tolist() for x in language_id.present(pa.array(texts))]
+    assert found[0] == found[5] == found[6] == []
+    assert found[1] == found[2] != [] and found[3] == found[4] != []

@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 from duecourse.catalog.core import PRICES, SETTINGS, add_view, query
 from duecourse.operators import economics as E
-from duecourse.operators import joins
+from duecourse.operators import joins, vocabulary
 from duecourse.operators import windows as Wn
-from duecourse.operators.profile import value_set
 
 GRID = SETTINGS.grid
 L, H = PRICES.lgd, PRICES.haircut
@@ -206,13 +205,13 @@ def a15(t):
 
 @query(
     "a16_category_vocabulary",
-    """SELECT 'home_ownership' AS "column", string_agg(v, ',' ORDER BY v) AS categories FROM (SELECT DISTINCT home_ownership AS v FROM {loans}) q
-       UNION ALL SELECT 'purpose', string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT purpose AS v FROM {loans}) q""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {c} AS value, row_number() OVER (ORDER BY {c}) - 1 AS code
+            FROM {{loans}} WHERE {c} IS NOT NULL GROUP BY {c}""" for c in ("home_ownership", "purpose")
+    ),
 )
 def a16(t):
-    return value_set(t.loans, ["home_ownership", "purpose"]).withColumn(
-        "categories", F.array_join("categories", ",")
-    )
+    return vocabulary.learned(t.loans, ["home_ownership", "purpose"]).select("column", "value", "code")
 
 
 @query(

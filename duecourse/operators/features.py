@@ -11,7 +11,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duecourse.operators import vocabulary
 from duecourse.registry import EVENT_DATE, LOANS, STANDIN, Registry
+from duecourse.session import path_of, stored
 
 REGISTRIES = {"loans": LOANS, "standin": STANDIN}
 
@@ -39,11 +41,8 @@ def engineer(df: DataFrame, registry: Registry, keep: tuple[str, ...] = ()) -> D
     return df.select(*keep, *(made.get(c, F.col(c)).alias(c) for c in registry.model_features))
 
 
-def learn_vocabulary(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted categories per column. Model categories are few; they are counted per task first."""
-    long = df.select(columns).unpivot([], columns, "column", "value").filter("value IS NOT NULL")
-    found = long.distinct().collect()
-    return {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
+#: Columns of at most this many categories are coded by a list in the plan, others by a table.
+LISTED = 1_000
 
 
 def category_code(column: str, categories: list[str]) -> Column:
@@ -73,32 +72,51 @@ class VocabularyModel(Transformer, DefaultParamsReadable, DefaultParamsWritable)
     """Replaces each categorical column by ``<column>_code``."""
 
     vocabulary = Param(Params._dummy(), "vocabulary", "JSON of categories", TypeConverters.toString)
+    folder = Param(Params._dummy(), "folder", "table of the codes of columns with many values", TypeConverters.toString)
+    tabled = Param(Params._dummy(), "tabled", "columns coded by that table", TypeConverters.toListString)
 
     @keyword_only
-    def __init__(self, *, vocabulary: str = "{}") -> None:
+    def __init__(self, *, vocabulary: str = "{}", folder: str = "", tabled: list[str] | None = None) -> None:
         super().__init__()
-        self._setDefault(vocabulary="{}")
+        self._setDefault(vocabulary="{}", folder="", tabled=[])
         self._set(**self._input_kwargs)
 
     @property
     def categories(self) -> dict[str, list[str]]:
+        """Of the columns that have a list."""
         return json.loads(self.getOrDefault(self.vocabulary))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumns(
-            {f"{c}_code": category_code(c, values) for c, values in self.categories.items()}
-        )
+        listed = dataset.withColumns({f"{c}_code": category_code(c, v) for c, v in self.categories.items()})
+        tabled = self.getOrDefault(self.tabled)
+        if not tabled:
+            return listed
+        codes = dataset.sparkSession.read.parquet(self.getOrDefault(self.folder))
+        return vocabulary.coded(listed, codes, tabled)
 
 
 class Vocabulary(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Learns the codes. Columns of up to ``LISTED`` categories, which are counted first, become
+    lists in the model; the codes of others stay a table, in ``folder`` or the shared folder."""
+
     columns = Param(Params._dummy(), "columns", "categorical columns", TypeConverters.toListString)
+    folder = Param(Params._dummy(), "folder", "where the table of codes is kept", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, columns: list[str] | None = None) -> None:
+    def __init__(self, *, columns: list[str] | None = None, folder: str = "") -> None:
         super().__init__()
-        self._setDefault(columns=[])
+        self._setDefault(columns=[], folder="")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> VocabularyModel:
-        learned = learn_vocabulary(dataset, self.getOrDefault(self.columns))
-        return VocabularyModel(vocabulary=json.dumps(learned))
+        columns = self.getOrDefault(self.columns)
+        found = stored(vocabulary.learned(dataset, columns), "codes")
+        sizes = {r["column"]: r["n"] for r in found.groupBy("column").agg(F.count("*").alias("n")).collect()}
+        tabled = [c for c in columns if sizes.get(c, 0) > LISTED]
+        lists: dict[str, list[str]] = {c: [] for c in columns if c not in tabled}
+        for r in found.filter(F.col("column").isin(*lists)).orderBy("column", "code").collect():
+            lists[r["column"]].append(r["value"])
+        folder = self.getOrDefault(self.folder)
+        if tabled and folder:
+            found.write.mode("overwrite").parquet(folder)
+        return VocabularyModel(vocabulary=json.dumps(lists), folder=folder or path_of(found), tabled=tabled)

@@ -29,19 +29,6 @@ def value_counts(df: DataFrame, column: str, digits: int = 4) -> DataFrame:
     return counts.select(column, "n", F.round(F.col("n") / total, digits).alias("share"))
 
 
-def value_set(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, categories)``: the sorted distinct values of each column, NULL left out.
-
-    For vocabularies, which are learned once and kept as a list.
-    """
-    long = df.select(columns).unpivot([], columns, "column", "value").filter("value IS NOT NULL")
-    return (
-        long.distinct()
-        .groupBy("column")
-        .agg(F.array_sort(F.collect_list("value")).alias("categories"))
-    )
-
-
 def latency_profile(df: DataFrame, group: str, value: str, time: str) -> DataFrame:
     """Median, tail percentiles (inclusive method), maximum and rate per second."""
     seconds = F.unix_micros(F.max(time).cast("timestamp")) - F.unix_micros(

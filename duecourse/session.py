@@ -79,6 +79,11 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return frame
 
 
+def path_of(frame: DataFrame) -> str:
+    """Where a frame that ``stored`` gave lies."""
+    return _PATHS[frame]
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete the files of stored frames. Only for steps whose readers have been stored themselves:
     nothing can be computed from these frames again."""

@@ -121,6 +121,25 @@ def x8(t):
     return logs.raw_log(t.spark, write_log(t))
 
 
+@query(
+    "x8_log_invariants",
+    """SELECT decision, count(*) AS records, count(DISTINCT id) AS requests, round(sum(loan_amnt), 2) AS loan_amnt,
+              count(dti) AS filled_dti, round(sum(pd), 6) AS pd FROM {served} GROUP BY decision""",
+)
+def x8_invariants(t):
+    """What the written records hold: a record a request, with its inputs nested."""
+    log = logs.raw_log(t.spark, write_log(t))
+
+    def inside(name: str):
+        return F.get_json_object("features", f"$.{name}").cast("double")
+
+    return log.groupBy("decision").agg(
+        F.count("*").alias("records"), F.countDistinct("request_id").alias("requests"),
+        F.round(F.sum(inside("loan_amnt")), 2).alias("loan_amnt"), F.count(inside("dti")).alias("filled_dti"),
+        F.round(F.sum("pd"), 6).alias("pd"),
+    )
+
+
 STATS = "SELECT split, count(*) AS loans, round(avg(y), 5) AS default_rate FROM {scored} GROUP BY split"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duecourse.session import stored
 
-__all__ = ["WORD", "words", "word_count", "learnable", "held_out", "table", "stored", "hinted", "folded"]
+__all__ = ["WORD", "words", "word_count", "learnable", "held_out", "table", "stored", "hinted", "folded", "example_texts"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +49,20 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def example_texts(rows: DataFrame, most: int) -> DataFrame:
+    """``id, y, text`` and the other columns of ``rows`` (``key, y, text, ...``): one row for each
+    different key and text, and about ``most`` at most, chosen by a hash of both.
+
+    A key may hold a third of all rows. Repeated rows are reduced in each task before they are
+    shuffled, and what a driver may fetch is bounded by rows, not by keys.
+    """
+    rows = rows.withColumn("id", F.xxhash64("key", "text")).drop("key")
+    n = rows.select("id").distinct().count()
+    if n > most:
+        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(2**20)) < int(2**20 * most / n))
+    return rows.dropDuplicates(["id"])
+
+
 def row_id(key: str, text: str) -> Column:
     """What tells one row from another and orders rows: by key, null last, then by a hash of the
     text. Nothing in it is null, so it can be joined on. Rows alike in both count as one row."""

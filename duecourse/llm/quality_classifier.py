@@ -7,8 +7,9 @@ pool and hands the pages it is surest of, in the proportion of the classes, to t
 labels. Afterwards both are calibrated on labelled pages that neither was fitted on, and a third
 regression over the two calibrated views gives the score of every document.
 
-Fitted on at most ``LABELLED`` labelled documents (those the caller lets it learn from, by a hash of
-the id) and a pool of at most ``POOL`` others; every document is scored.
+Fitted on about ``LABELLED`` labelled documents at most (of those the caller lets it learn from, by
+hashes of id and text; rows alike in both count once) and a pool of about ``POOL`` others at most;
+every document is scored.
 
 Defined cases: null texts, languages and sources are values like others; without labelled documents
 of both classes every score is the share of good ones, or 0.5; a document with several labels
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duecourse.llm.common import stored
+from duecourse.llm.common import example_texts, stored
 from duecourse.llm.lettering import begun_words, logistic
 from duecourse.llm.quality_rules import _CAPITAL, _DIGIT, _LOUD, _SPACE
 from duecourse.llm.shingles import pieces
@@ -187,9 +188,9 @@ def fitted(
                     names=["id", "y", "content", "page"],
                 )
 
-    columns = [F.xxhash64("key", "text").alias("id"), "y", "text", "lang", "source"]
+    columns = ["id", "y", "text", "lang", "source"]
     table = (
-        taken.select(*columns).unionByName(free.select(*columns))
+        example_texts(taken, labelled).select(*columns).unionByName(example_texts(free, pool).select(*columns))
         .mapInArrow(see, "id long, y int, content array<float>, page array<float>").toPandas().sort_values(["id", "y"])
     )
     y = table["y"].to_numpy(dtype=np.int64)

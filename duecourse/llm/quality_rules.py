@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duecourse.llm.common import stored
+from duecourse.llm.common import example_texts, stored
 from duecourse.llm.shingles import _POWERS, _SHINGLE, _SPACE, _powers, mixed, pieces
 
 EXAMPLES = 3_000
@@ -259,7 +259,7 @@ def fitted(
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key")
     table = (
-        rows.select(F.xxhash64("key", "text").alias("id"), "y", "text")
+        example_texts(rows, examples).select("id", "y", "text")
         .mapInArrow(lines_of, "id long, y int, digest long, has array<boolean>").toPandas()
     )
     if not len(table):

@@ -9,7 +9,8 @@ or several. A logistic regression over
 words and word beginnings of the text and its restored words gives the score.
 
 The model of spellings counts all texts. The regression is fitted on at most ``EXAMPLES`` labelled
-documents, chosen by a hash of the id among those the caller lets it learn from; its features are
+texts of such documents, chosen by hashes of id and text among those the caller lets it learn from
+(rows alike in both count once); its features are
 the ``FEATURES`` that differ most between the classes there, by ``SIGNIFICANT`` deviations at least.
 
 Defined cases: null and empty texts get the score of a text without any known feature; a document
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duecourse.llm.common import stored
+from duecourse.llm.common import example_texts, stored
 from duecourse.llm.lettering import Weights, features_of, logistic
 from duecourse.llm.shingles import pieces
 
@@ -172,12 +173,12 @@ def restored_words(text: str | None, spelling: Spelling, known: dict[str, str])
 
 
 def _read(written: str, spelling: Spelling) -> str:
-    """Long strings (keys, links) are read in parts, so that paths stay short. Parts of spaced-out
-    letters overlap, so that a word of up to 32 letters is whole in one of them."""
+    """Long strings (keys, links) are read in parts, so that paths stay short. Parts overlap, so that
+    a word of up to 32 letters is whole in one of them."""
     if " " in written:
         parts = [written[a : a + 256] for a in range(0, max(1, len(written) - 64), 192)]
     else:
-        parts = re.findall(r".{1,64}", written, flags=re.S)
+        parts = [written[a : a + 64] for a in range(0, max(1, len(written) - 32), 32)]
     return " ".join(_with_joins(spelling.restored(p)) for p in parts)
 
 
@@ -243,8 +244,7 @@ def fitted(
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key")
     sample = stored(
-        rows.select(F.xxhash64("key", "text").alias("id"), "y", "text")
-        .mapInArrow(read, "id long, y int, has array<long>"),
+        example_texts(rows, examples).select("id", "y", "text").mapInArrow(read, "id long, y int, has array<long>"),
         "read",
     )
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}

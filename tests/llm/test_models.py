@@ -339,3 +339,28 @@ def test_only_letters_of_any_plane_count_for_a_language():
     found = [x.tolist() for x in language_id.present(pa.array(texts))]
     assert found[0] == found[5] == found[6] == []
     assert found[1] == found[2] != [] and found[3] == found[4] != []
+
+
+def test_examples_are_bounded_by_rows(spark):
+    from duecourse.llm.common import example_texts
+
+    # one id holds most rows, with few texts; another one many texts
+    rows = [(1, 0, f"t{k % 3}") for k in range(500)] + [(2, 1, f"u{k}") for k in range(400)] + [(3, 1, None)] * 5
+    table = spark.createDataFrame(rows, "key long, y int, text string")
+    assert example_texts(table, 1000).count() == 3 + 400 + 1
+    some = example_texts(table, 100)
+    assert 50 < some.count() < 150
+    assert sorted(r["id"] for r in some.collect()) == sorted(r["id"] for r in example_texts(table.repartition(7), 100).collect())
+    assert example_texts(table.limit(0), 10).count() == 0
+
+
+def test_parts_of_long_strings_overlap(monkeypatch):
+    spelling = toxicity.Spelling([0.0] * toxicity.SYMBOLS**3)
+    parts = []
+    monkeypatch.setattr(toxicity.Spelling, "restored", lambda self, p: parts.append(p) or p)
+    for size in (1, 33, 63, 64, 65, 96, 97, 128, 200):
+        parts.clear()
+        written = "".join(chr(0x4E00 + k) for k in range(size))
+        toxicity._read(written, spelling)
+        assert all(any(written[a : a + 32] in p for p in parts) for a in range(max(1, size - 31)))
+        assert max(map(len, parts)) <= 64

@@ -2,13 +2,20 @@
 
 A paragraph (a line of a text) is a set of word n-grams, n up to three, of those that occur in the
 templates. A multinomial logistic regression with an L1 penalty, so with few weights, tells the
-licence families and ``none`` apart. It is fitted on the templates and parts of them, and on at most
-``OTHERS`` paragraphs of the corpus without three word pairs of any template, chosen by a hash.
+licence families and ``none`` apart. It is fitted on templates, templates with words around them,
+parts of them (a wrapped text has a part a line), and at most ``OTHERS`` different paragraphs of the
+corpus without three word pairs of any template, chosen by a hash. A quarter of the licence examples
+is set aside and never fitted on.
 
-A paragraph that is not ``none`` gets its family if two things hold, and is ``unknown`` otherwise:
-its probability reaches the threshold, which is set on fitted examples kept aside so that no more
-than ``MISTAKES`` of what passes is wrong; and at least ``SHARE`` of the words of its longest
-template part, or of its own word pairs, agree with a template of that family.
+A paragraph that is not ``none`` gets its family if three things hold, and is ``unknown`` otherwise:
+
+* its probability reaches the threshold. That is set on the examples set aside and on examples of
+  licences the model does not know: in each of ``FOLDS`` further fits a part of the families is left
+  out whole, and what these fits say of them counts as wrong if it passes. The threshold is the
+  least by which no more than ``MISTAKES`` of what passes is wrong;
+* at least ``SHARE`` of the word pairs of its nearest template, or of its own, agree;
+* it has a telling word pair, one that only templates of that family have, and more of these than of
+  all other families' telling pairs.
 
 Defined cases: null texts and lines without words have no licence; a paragraph needs at least one
 template word of ``LONG`` letters or more; rows alike in key and text are reported once; an empty
@@ -27,8 +34,11 @@ from duecourse.llm.common import row_id, stored
 
 OTHERS = 3_000
 MISTAKES = 0.02
+FOLDS = 3
 SHARE = 0.5
 LONG = 6
+#: Words of the parts of notices that examples are made of, as wrapped lines have them.
+PARTS = (6, 8, 12)
 NONE, UNKNOWN = "none", "unknown"
 
 # Usual wordings of licence notices, by family.
@@ -91,6 +101,27 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
+# Identifiers of licences, by family.
+IDENTIFIERS: dict[str, tuple[str, ...]] = {
+    "AGPL": ("AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "Apache": ("Apache-2.0",),
+    "BSD": ("BSD-2-Clause", "BSD-3-Clause"),
+    "CC-BY": ("CC-BY-4.0",),
+    "CC-BY-NC": ("CC-BY-NC-4.0",),
+    "CC-BY-SA": ("CC-BY-SA-4.0",),
+    "CC0": ("CC0-1.0",),
+    "GPL": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "LGPL": ("LGPL-2.1-only", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "MIT": ("MIT",),
+    "MPL": ("MPL-2.0",),
+}
+
+
+def wordings() -> dict[str, tuple[str, ...]]:
+    """The notices of each family and the lines that name its identifiers."""
+    named = {f: tuple(f"SPDX-License-Identifier: {i}" for i in ids) for f, ids in IDENTIFIERS.items()}
+    return {f: notices + named.get(f, ()) for f, notices in TEMPLATES.items()}
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(
@@ -112,7 +143,7 @@ def _all_grams(w: str) -> Column:
     return F.array_distinct(F.concat(_grams(w, 1), _grams(w, 2), _grams(w, 3)))
 
 
-def templates(spark: SparkSession, texts: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+def templates(spark: SparkSession, texts: dict[str, tuple[str, ...]]) -> DataFrame:
     """``family, no, w``: the words of each template."""
     rows = F.array(*(
         F.struct(F.lit(family).alias("family"), F.lit(k).alias("no"), F.lit(t).alias("text"))
@@ -131,84 +162,120 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def _examples(known: DataFrame) -> DataFrame:
-    """Templates whole, with words before or after them, and without up to four words at an end."""
+    """Templates whole, with words before or after them, without up to four words at an end, and
+    every part of ``PARTS`` words."""
     extra = F.array(*(F.array(*(F.lit(x) for x in e.split())) for e in ("", "copyright 2020", "see notice", "www.example.com")))
-    cut = (
-        known.select("family", "w", F.explode(extra).alias("x"), F.lit(0).alias("k"))
-        .select("family", F.explode(F.array(F.concat("x", "w"), F.concat("w", "x"))).alias("w"), "k")
-        .union(known.select("family", "w", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("k"))
-               .filter(F.size("w") > F.col("k") + 3)
-               .select("family", F.explode(F.array(
-                   F.slice("w", F.col("k") + 1, F.size("w")), F.slice("w", F.lit(1), F.size("w") - F.col("k"))
-               )).alias("w"), "k"))
+    around = known.select("family", "w", F.explode(extra).alias("x")).select(
+        "family", F.explode(F.array(F.concat("x", "w"), F.concat("w", "x"))).alias("w")
+    )
+    ends = (
+        known.select("family", "w", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("k"))
+        .filter(F.size("w") > F.col("k") + 3)
+        .select("family", F.explode(F.array(
+            F.slice("w", F.col("k") + 1, F.size("w")), F.slice("w", F.lit(1), F.size("w") - F.col("k"))
+        )).alias("w"))
+    )
+    parts = (
+        known.select("family", "w", F.explode(F.array(*map(F.lit, PARTS))).alias("n")).filter(F.size("w") > F.col("n"))
+        .select("family", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("k"))
+        .select("family", F.slice("w", F.col("k"), F.col("n")).alias("w"))
     )
-    return cut.select("family", "w").distinct()
+    # A part that templates of two families share tells neither.
+    return (
+        around.union(ends).union(parts).distinct()
+        .groupBy("w").agg(F.min("family").alias("family"), F.count("*").alias("families"))
+        .filter("families = 1").select("family", "w")
+    )
+
+
+def _other_paragraphs(docs: DataFrame, lines: DataFrame, pairs: Column, text: str) -> DataFrame:
+    """``w``: about ``OTHERS`` different paragraphs at most that are no licences, by a hash of the
+    words. The share that is taken follows from the number of lines, so no task orders them."""
+    n = docs.agg(F.sum(F.regexp_count(text, F.lit("\n")) + 1)).first()[0] or 0
+    share = int(2**30 * min(1.0, OTHERS / max(n, 1)))
+    shared = F.size(F.array_intersect(_grams("w", 2), pairs))
+    return lines.filter(F.pmod(F.xxhash64("w"), F.lit(2**30)) < share).filter(shared < 3).select("w").distinct()
 
 
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, line_no, family, probability, similarity`` of every licence paragraph."""
     spark = docs.sparkSession
-    known = stored(templates(spark), "templates")
+    known = stored(templates(spark, wordings()), "templates")
     # Templates are few and fixed, so what they hold is small, whatever the corpus.
     vocabulary = sorted(r[0] for r in known.select(F.explode(_all_grams("w"))).distinct().collect())
-    pairs = sorted(r[0] for r in known.select(F.explode(_grams("w", 2))).distinct().collect())
+    owners = known.select("family", F.explode(_grams("w", 2)).alias("pair")).groupBy("pair").agg(
+        F.min("family").alias("family"), F.countDistinct("family").alias("families")
+    ).orderBy("pair").collect()
+    pairs = F.array(*(F.lit(r["pair"]) for r in owners))
+    telling = {f: F.array(*(F.lit(r["pair"]) for r in owners if r["families"] == 1 and r["family"] == f)) for f in TEMPLATES}
+    every_telling = F.array(*(F.lit(r["pair"]) for r in owners if r["families"] == 1))
     long = [v for v in vocabulary if " " not in v and len(v) >= LONG]
     lines = paragraphs(docs, key, text)
     signal = F.arrays_overlap("w", F.array(*map(F.lit, long)))
-    shared = F.size(F.array_intersect(_grams("w", 2), F.array(*map(F.lit, pairs))))
-    place = F.pmod(F.xxhash64("w"), F.lit(2**30))
-    others = (
-        lines.select("w", place.alias("place")).filter("place < 536870912").orderBy("place").limit(OTHERS * 2)
-        .filter(shared < 3).limit(OTHERS).select(F.lit(NONE).alias("family"), "w")
-    )
+    others = _other_paragraphs(docs, lines, pairs, text).select(F.lit(NONE).alias("family"), "w")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
     vectors.setBinary(True).setMinTF(1.0)
     families = [*sorted(TEMPLATES), NONE]
     names = F.array(*map(F.lit, families))
+    place = (F.array_position(names, F.col("family")) - 1).cast("int")
     examples = stored(
         vectors.transform(
             _examples(known).select("family", "w", F.lit(4.0).alias("weight"))
             .unionByName(others.withColumn("weight", F.lit(1.0)))
             .withColumn("grams", _all_grams("w"))
-        ).select("family", "w", "features", "weight",
-                 (F.array_position(names, F.col("family")) - 1).cast("double").alias("label"),
-                 (F.pmod(F.xxhash64("w"), F.lit(4)) == 0).alias("aside")),
+        ).select("family", "w", "features", "weight", place.cast("double").alias("label"), (place % FOLDS).alias("fold"),
+                 ((F.pmod(F.xxhash64("w"), F.lit(4)) == 0) & (F.col("family") != NONE)).alias("aside")),
         "examples",
     )
-    fit = LogisticRegression(
+    regression = LogisticRegression(
         family="multinomial", maxIter=40, regParam=0.002, elasticNetParam=0.5, weightCol="weight", standardization=False,
-    ).fit(examples.filter((~F.col("aside")) | (F.col("family") != NONE)))
+    )
+    used = examples.filter(~F.col("aside"))
+    # The class numbers stay those of all families: ``none`` is the last of them and always there.
+    fit = regression.fit(used)
 
-    def predicted(df: DataFrame, *keep: str) -> DataFrame:
-        """Stored before it is used, so that each row goes through the model once."""
-        p = stored(fit.transform(df).select(*keep, vector_to_array("probability").alias("all")), "predicted")
-        return p.select(*keep, F.array_max("all").alias("p"), F.element_at(
-            names, F.array_position("all", F.array_max("all")).cast("int")).alias("best"))
+    def agreement(w: Column) -> Column:
+        ours, theirs = _pairs_of(F.col("w")), _pairs_of(w)
+        common = F.size(F.array_intersect(ours, theirs))
+        return common / F.greatest(F.lit(1), F.least(F.size(ours), F.size(theirs)))
 
-    judged = predicted(examples.filter("aside"), "family").filter(F.col("best") != NONE)
+    of_family = stored(known.groupBy("family").agg(F.collect_list("w").alias("texts")).withColumnRenamed("family", "best"), "families")
+
+    def compared(model, df: DataFrame, *keep: str) -> DataFrame:
+        """``p, best, similarity, agrees`` of what is not ``none``. Probabilities are stored before
+        they are used, so that each row goes through the model once."""
+        p = stored(model.transform(df).select(*keep, "w", vector_to_array("probability").alias("all")), "predicted")
+        best = F.element_at(names, F.array_position("all", F.array_max("all")).cast("int"))
+        own = F.size(F.array_intersect(_pairs_of(F.col("w")), F.coalesce(*(
+            F.when(F.col("best") == f, own_pairs) for f, own_pairs in telling.items()
+        ))))
+        any_ = F.size(F.array_intersect(_pairs_of(F.col("w")), every_telling))
+        return (
+            p.select(*keep, "w", F.array_max("all").alias("p"), best.alias("best")).filter(F.col("best") != NONE)
+            .join(F.broadcast(of_family), "best", "left")
+            .withColumn("similarity", F.array_max(F.transform("texts", agreement)))
+            .withColumn("agrees", (F.col("similarity") >= SHARE) & (own > 0) & (2 * own > any_))
+            .drop("texts")
+        )
+
+    judged = compared(fit, examples.filter("aside"), "family").select("p", "agrees", (F.col("best") != F.col("family")).alias("wrong"))
+    for fold in range(FOLDS):
+        left_out = (F.col("fold") == fold) & (F.col("family") != NONE)
+        partly = regression.fit(used.filter(~left_out))
+        judged = judged.unionByName(
+            compared(partly, examples.filter(left_out), "family").select("p", "agrees", F.lit(True).alias("wrong"))
+        )
     steps = F.explode(F.array(*(F.lit(k / 20) for k in range(6, 20))))
     passing = (
-        judged.select("p", (F.col("best") != F.col("family")).cast("int").alias("wrong"), steps.alias("least"))
+        judged.filter("agrees").select("p", F.col("wrong").cast("int").alias("wrong"), steps.alias("least"))
         .filter(F.col("p") >= F.col("least")).groupBy("least").agg(F.avg("wrong").alias("wrong"))
         .filter(F.col("wrong") <= MISTAKES)
     )
     least = passing.agg(F.min("least")).first()[0] or 0.95
     candidates = stored(lines.filter(signal), "candidates").dropDuplicates(["unknown", "key", "th", "line_no"])
-    scored = predicted(
-        vectors.transform(candidates.withColumn("grams", _all_grams("w"))), "unknown", "key", "th", "line_no", "w"
-    ).filter(F.col("best") != NONE)
-    of_family = known.groupBy("family").agg(F.collect_list("w").alias("texts"))
-
-    def agreement(w: Column) -> Column:
-        ours, theirs = _pairs_of(F.col("w")), _pairs_of(w)
-        common = F.size(F.array_intersect(ours, theirs))
-        return common / F.greatest(F.lit(1), F.least(F.size(ours), F.size(theirs)))
-
-    compared = scored.join(F.broadcast(of_family), F.col("best") == F.col("family"), "left").withColumn(
-        "similarity", F.array_max(F.transform("texts", agreement))
-    )
-    sure = (F.col("p") >= least) & (F.col("similarity") >= SHARE)
-    return compared.select(
+    scored = compared(fit, vectors.transform(candidates.withColumn("grams", _all_grams("w"))), "unknown", "key", "th", "line_no")
+    sure = (F.col("p") >= least) & F.col("agrees")
+    return scored.select(
         F.struct("unknown", "key", "th").alias("doc"), "line_no", F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"),
         F.col("p").alias("probability"), "similarity",
     )

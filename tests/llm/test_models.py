@@ -312,12 +312,33 @@ def test_licence_paragraphs(make, awkward):
     rows = [(k, "\n".join([prose(rng, 20), line, prose(rng, 20)])) for k, line in enumerate(lines)]
     rows += [(100 + k, "\n".join(prose(rng, 30) for _ in range(5))) for k in range(60)]
     rows += [(200, "we reserved a public table for the version of the work"), (201, None), (202, "")]
+    wrapped = [
+        "Permission is hereby granted, free of charge, to any person obtaining", "a copy of this software and associated",
+        "documentation files, to deal in the Software without restriction.",
+    ]
+    rows += [(50, "\n".join([prose(rng, 20), *wrapped])), (51, "// SPDX-License-Identifier: MIT"), (52, "SPDX-License-Identifier: Apache-2.0")]
+    strange = [
+        "Licensed under the Eclipse Public License, version 2.0.", "Released under the Artistic License, version 2.0.",
+        "This work is licensed under the Open Software License, version 3.", "SPDX-License-Identifier: ISC",
+        "Released under the Boost Software License.", "Licensed under the zlib License.",
+        "This work is licensed under the European Union Public License, version 1.2.",
+        "Released under the Microsoft Public License.", "Licensed under the SIL Open Font License, Version 1.1.",
+        "Licensed under the PostgreSQL License.",
+    ]
+    rows += [(300 + k, "\n".join([prose(rng, 20), line])) for k, line in enumerate(strange)]
     got = {(r["doc"]["key"], r["line_no"]): r["family"] for r in licenses.found(make(rows)).collect()}
-    assert {k: v for k, v in got.items() if k[0] < 100} == {(k, 1): f for k, f in enumerate(lines.values())}
+    assert {k: v for k, v in got.items() if k[0] < 50} == {(k, 1): f for k, f in enumerate(lines.values())}
+    assert {k: v for k, v in got.items() if 50 <= k[0] < 100} == {
+        (50, 1): "MIT", (50, 2): "MIT", (50, 3): "MIT", (51, 0): "MIT", (52, 0): "Apache",
+    }
     assert all(v == licenses.UNKNOWN for k, v in got.items() if k[0] >= 100)
     assert licenses.found(awkward).count() == 0
 
 
+def test_licences_of_empty_tables(no_rows):
+    assert licenses.found(no_rows).count() == 0
+
+
 # Bytes of Arrow columns
 
 

@@ -224,7 +224,8 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             .unionByName(others.withColumn("weight", F.lit(1.0)))
             .withColumn("grams", _all_grams("w"))
         ).select("family", "w", "features", "weight", place.cast("double").alias("label"), (place % FOLDS).alias("fold"),
-                 ((F.pmod(F.xxhash64("w"), F.lit(4)) == 0) & (F.col("family") != NONE)).alias("aside")),
+                 ((F.pmod(F.xxhash64("w"), F.lit(4)) == 0) & (F.col("family") != NONE)).alias("aside"))
+        .repartition(1),  # some thousand rows by parameter, gone through 40 times a fit
         "examples",
     )
     regression = LogisticRegression(

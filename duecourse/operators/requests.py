@@ -11,7 +11,8 @@ from duecourse.operators.contracts import numeric_problem
 from duecourse.registry import EVENT_DATE, Registry
 
 DATE_FIELD = "application_date"
-KEYS = "_read.keys"
+# Columns between the steps of a reading.
+TEXT, KEYS, VALUE, REASONS = "_read_text", "_read_keys", "_read_value_", "_read_reasons"
 DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
@@ -34,42 +35,45 @@ def read_requests(
     """
     names = request_fields(registry)
     as_text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    read = F.struct(
-        F.from_json(body, as_text).alias("text"), F.json_object_keys(body).alias("keys")
-    )
+    # Three projections, each over columns that the one before makes once: text, typed values, reasons.
+    # Catalyst keeps them apart, as every column made is used more than once.
+    parsed = bodies.withColumns({TEXT: F.from_json(body, as_text), KEYS: F.json_object_keys(body)})
+    typed = parsed.withColumns(_typed_fields(registry, today))
+    judged = typed.withColumn(REASONS, F.array_compact(_reasons(registry)))
     result = F.struct(
-        F.struct(*_typed_fields(registry, today)).alias("request"),
-        F.array_compact(_reasons(registry, today)).alias("reasons"),
+        F.struct(*(_value(n).alias(n) for n in names)).alias("request"), F.col(REASONS).alias("reasons")
     )
-    # Two explodes of one element each keep Catalyst from copying the JSON parse, or the checks,
-    # into every expression and filter that uses their result.
-    parsed = bodies.withColumn("_read", F.explode(F.array(read)))
-    checked = parsed.withColumn("_result", F.explode(F.array(result)))
+    # Filters on the result are not moved below an explode, where they would repeat parse and checks.
+    # What is exploded holds columns only: a generator's own expressions are neither shared nor compiled
+    # once they are many.
+    checked = judged.select(*bodies.columns, F.explode(F.array(result)).alias("_result"))
     return checked.select(*bodies.columns, "_result.request", "_result.reasons")
 
 
 def _text(name: str) -> Column:
-    return F.col(f"_read.text.{name}")
+    return F.col(f"{TEXT}.{name}")
+
+
+def _value(name: str) -> Column:
+    return F.col(f"{VALUE}{name}")
 
 
 def _day(text: Column) -> Column:
     return F.when(text.rlike(DAY), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def _typed_fields(registry: Registry, today: Column | None) -> list[Column]:
+def _typed_fields(registry: Registry, today: Column | None) -> dict[str, Column]:
     default = F.current_date() if today is None else today
     absent = ~F.array_contains(KEYS, DATE_FIELD)
-    date = F.when(absent, default).otherwise(_day(_text(DATE_FIELD)))
-    fields = [date.alias(DATE_FIELD)]
-    fields += [P.number(_text(c)).alias(c) for c in registry.numeric]
-    fields += [_text(c).alias(c) for c in registry.categorical]
-    fields += [_day(_text(c)).alias(c) for c in registry.dates]
-    return fields
+    fields = {DATE_FIELD: F.when(absent, default).otherwise(_day(_text(DATE_FIELD)))}
+    fields |= {c: P.number(_text(c)) for c in registry.numeric}
+    fields |= {c: _text(c) for c in registry.categorical}
+    fields |= {c: _day(_text(c)) for c in registry.dates}
+    return {f"{VALUE}{name}": made for name, made in fields.items()}
 
 
-def _reasons(registry: Registry, today: Column | None) -> Column:
+def _reasons(registry: Registry) -> Column:
     """One array per body; NULL entries are removed by the caller."""
-    value = dict(zip(request_fields(registry), _typed_fields(registry, today)))
     is_object = F.col(KEYS).isNotNull()
     checks: list[tuple[Column, str]] = []
     for name in (*registry.required, *registry.categorical, *registry.dates):
@@ -77,16 +81,16 @@ def _reasons(registry: Registry, today: Column | None) -> Column:
     present = F.array_contains(KEYS, DATE_FIELD)
     checks.append((present & _text(DATE_FIELD).isNull(), f"{DATE_FIELD}: missing"))
     for name in (DATE_FIELD, *registry.numeric, *registry.dates):
-        checks.append((_text(name).isNotNull() & value[name].isNull(), f"{name}: unreadable"))
+        checks.append((_text(name).isNotNull() & _value(name).isNull(), f"{name}: unreadable"))
     for name in registry.numeric:
-        checks.append((numeric_problem(name, registry, value[name]), f"{name}: out of range"))
+        checks.append((numeric_problem(name, registry, _value(name)), f"{name}: out of range"))
     for name in registry.categorical:
-        checks.append((~value[name].isin(registry.allowed[name]), f"{name}: not allowed"))
+        checks.append((~_value(name).isin(registry.allowed[name]), f"{name}: not allowed"))
     checks.append(
-        (value["fico_range_high"] < value["fico_range_low"], "fico_range_high: below fico_range_low")
+        (_value("fico_range_high") < _value("fico_range_low"), "fico_range_high: below fico_range_low")
     )
     for name in registry.dates:  # compares days; the batch contract compares months
-        checks.append((value[name] > value[DATE_FIELD], f"{name}: after {DATE_FIELD}"))
+        checks.append((_value(name) > _value(DATE_FIELD), f"{name}: after {DATE_FIELD}"))
     listed = F.array(
         F.when(~is_object, F.lit("not a JSON object")),
         *(F.when(is_object & bad, F.lit(text)) for bad, text in checks),

@@ -191,3 +191,9 @@ def test_a_bin_per_row_is_no_single_task(spark):
     assert "Window" not in plan
     row = drift._shares(now, ["month"]).agg(F.max("rows"), F.min("present"), F.count("*")).first()
     assert tuple(row) == (5000, 5000, 5000)
+
+
+def test_contributions_are_rounded_by_their_stored_number(spark):
+    values = [0.50125, 0.12345, 1.00005, 2.67495, 3.00015, 0.1, 12345.67895, 0.03125, float("inf")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in rows.select(S.four_digits(F.col("v"))).collect()] == [round(v, 4) for v in values]

@@ -197,3 +197,17 @@ def test_contributions_are_rounded_by_their_stored_number(spark):
     values = [0.50125, 0.12345, 1.00005, 2.67495, 3.00015, 0.1, 12345.67895, 0.03125, float("inf")]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in rows.select(S.four_digits(F.col("v"))).collect()] == [round(v, 4) for v in values]
+
+
+def test_features_that_drift_alike_are_ranked_by_name(spark):
+    """The same index up to the last bits of a sum."""
+    day = F.lit("2018-01-01").cast("date").alias("month")
+    found = [("b", 0.3), ("a", 0.1 + 0.1 + 0.1 - 1e-16), ("c", 0.3000001), ("pd", 0.0)]
+    drift = spark.createDataFrame(found, "feature string, psi double").select(
+        day, "feature", "psi", F.lit(0.0).alias("missing_rate"), F.lit(0.0).alias("missing_change"))
+    rates = spark.range(1).select(
+        day, F.lit(5).alias("loans"), *(F.lit(0.0).alias(c) for c in ("mean_pd", "reject_rate", "refer_rate")))
+    for at, value in ((1, 0.3 - 1e-16), (0, 0.30000000000000004)):
+        psi = F.when(F.col("feature") == "ab"[1 - at], value).otherwise(F.col("psi"))
+        top = D.monthly_summary(drift.withColumn("psi", psi), rates, RULES).first()["top_drifted"]
+        assert [t["feature"] for t in top] == ["c", "a", "b"]

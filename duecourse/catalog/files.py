@@ -261,13 +261,12 @@ def x9(t):
               CAST(sum(batches) OVER (ORDER BY month) - 1 AS BIGINT) AS last_batch FROM c""",
 )
 def x9_ledger(t):
-    """The order in which a replay came and the size of its chunks, from the ledger of its batches."""
+    """The order in which a replay came and the size of its chunks, from the ledger of its files."""
     requests = fresh(t, "requests")
     stream.write_requests_by_month(t.replay, STANDIN, requests)
     table = live.ledger(fresh(t, "ledger")).create(t.spark)
-    lines = stream.body_stream(t.spark, requests, files_per_batch=1)
-    stream.record_arrivals(lines, table, fresh(t, "progress")).awaitTermination()
-    return table.by_batch(t.spark).groupBy("month").agg(
+    stream.record_arrivals(stream.body_stream(t.spark, requests), table, fresh(t, "progress")).awaitTermination()
+    return live.arrivals(t.spark, table).groupBy("month").agg(
         F.sum("n_rows").alias("loans"), F.count("*").alias("batches"), F.max("n_rows").alias("largest"),
-        F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"),
+        F.min("arrival").alias("first_batch"), F.max("arrival").alias("last_batch"),
     )

@@ -11,9 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duecourse.session import stored
+
 NO_BATCH = -1
 
 
@@ -77,5 +80,22 @@ def decision_table(path: str) -> LiveTable:
 
 
 def ledger(path: str) -> LiveTable:
-    """Rows of each batch and month: in which order, and in what chunks, a replay came."""
-    return LiveTable(path, "month string, n_rows long", ("month",), ("n_rows",))
+    """Rows of each file and month: in which order, and in what chunks, a replay came."""
+    schema = "modified timestamp, file string, month string, n_rows long"
+    return LiveTable(path, schema, ("modified", "file", "month"), ("n_rows",))
+
+
+def arrivals(spark: SparkSession, table: LiveTable) -> DataFrame:
+    """``arrival, month, n_rows``: the files of a ledger numbered from 0 in the order in which they came,
+    which is that of the batches and, within one, of the times at which they were written."""
+    rows = stored(table.by_batch(spark), "arrivals")
+    files = rows.select("batch_id", "modified", "file").distinct()
+    # A row a batch: the files that came before it.
+    earlier = W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1)
+    starts = files.groupBy("batch_id").agg(F.count("*").alias("files")).select(
+        "batch_id", F.coalesce(F.sum("files").over(earlier), F.lit(0)).alias("start")
+    )
+    inside = F.row_number().over(W.partitionBy("batch_id").orderBy("modified", "file"))
+    places = files.withColumn("inside", inside).join(F.broadcast(starts), "batch_id")
+    arrival = (F.col("start") + F.col("inside") - 1).alias("arrival")
+    return rows.join(places.select("batch_id", "file", arrival), ["batch_id", "file"]).select("arrival", "month", "n_rows")

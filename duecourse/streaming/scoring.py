@@ -15,6 +15,8 @@ from duecourse.session import stored
 from duecourse.streaming.live import LiveTable
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: Request files that one task of a replay writes.
+CHUNKS_A_TASK = 20
 
 
 def request_stream(
@@ -126,14 +128,19 @@ def _each_batch(frame: DataFrame, write: Callable[[DataFrame, int], None], check
 
 
 def record_arrivals(lines: DataFrame, table: LiveTable, checkpoint: str) -> StreamingQuery:
-    """A ledger row for each batch and month of the request bodies in ``value``. The month is read from
-    the body's date alone: the request contract, checked where the bodies are scored, is not needed."""
+    """A ledger row for each file and month of the request bodies in ``value``. A micro-batch takes many
+    files, so the number of batches does not grow with the number of chunks. The month is read from the
+    body's date alone: the request contract, checked where the bodies are scored, is not needed."""
+    file = F.struct(
+        F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("file")
+    )
+    month = F.substring(F.get_json_object("value", f"$.{R.DATE_FIELD}"), 1, 7)
+    read = lines.select(file.alias("of"), month.alias("month")).select("of.*", "month")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        month = F.substring(F.get_json_object("value", f"$.{R.DATE_FIELD}"), 1, 7)
-        table.write(batch.groupBy(month.alias("month")).agg(F.count("*").alias("n_rows")), batch_id)
+        table.write(batch.groupBy("modified", "file", "month").agg(F.count("*").alias("n_rows")), batch_id)
 
-    return _each_batch(lines, write, checkpoint)
+    return _each_batch(read, write, checkpoint)
 
 
 def write_requests_by_month(
@@ -144,16 +151,19 @@ def write_requests_by_month(
     A file stream takes files in the order in which they were written, so it replays the months in
     order. A file holds ``chunk`` loans, the last one of a month what is left: loans are numbered within
     their month by ranges of the id, so no month has to go through one task. The loans are stored by
-    month once; the loop then reads only the month it writes.
+    month once; the loop then reads only the month it writes. A task writes ``CHUNKS_A_TASK`` files, all
+    whole but for the last one of the month.
     """
     month = F.date_format(EVENT_DATE, "yyyy-MM")
     body = stored(loans.select(month.alias("month"), KEY, R.request_json(registry).alias("body")), "bodies")
     places = ordering.running_totals(ordering.distinct_values(body, KEY, "month"), KEY, "month", ["n"])
-    chunks = places.select("month", KEY, F.floor(F.col("before_n") / chunk).cast("int").alias("chunk"))
-    by_month = stored(body.join(chunks, ["month", KEY]).drop(KEY), "replay", ("month",))
-    last = {r["month"]: r["last"] for r in by_month.groupBy("month").agg(F.max("chunk").alias("last")).collect()}
+    part = F.floor(F.col("before_n") / (chunk * CHUNKS_A_TASK)).cast("int")
+    parts = places.select("month", KEY, part.alias("part"))
+    by_month = stored(body.join(parts, ["month", KEY]).drop(KEY), "replay", ("month",))
+    last = {r["month"]: r["last"] for r in by_month.groupBy("month").agg(F.max("part").alias("last")).collect()}
     for name in sorted(last):
         rows = by_month.filter(F.col("month") == name)
-        # A task a chunk, and no task without rows, which would write an empty file.
-        rows.repartitionById(last[name] + 1, F.col("chunk")).select("body").write.text(f"{path}/{name}")
+        # No task is without rows, which would write an empty file.
+        tasks = rows.repartitionById(last[name] + 1, F.col("part")).select("body")
+        tasks.write.option("maxRecordsPerFile", chunk).text(f"{path}/{name}")
     return sorted(last)

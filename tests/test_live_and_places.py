@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duecourse.operators import drift, ordering
 from duecourse.registry import LOANS
 from duecourse.session import stored
+from duecourse.streaming import live, scoring
 from duecourse.streaming.live import LiveTable
 
 
@@ -66,3 +67,25 @@ def test_counters_count_what_unfolded_rows_do(spark, random_loans, monkeypatch,
     assert numbers(packed.select("feature", F.coalesce("bin", F.lit("?")), "n")) == numbers(
         drift.sample_counts(rows, edges, registry).select("feature", F.coalesce("bin", F.lit("?")), "n"))
     assert packed.filter("bin LIKE 'it%new'").first()["n"] == 40
+
+
+def test_ledger_tells_chunks_whatever_the_batches(spark, random_loans, tmp_path):
+    loans = stored(random_loans(400, 9).filter("issue_d < '2013-06-01'"), "replayed")
+    requests = str(tmp_path / "requests")
+    scoring.write_requests_by_month(loans, LOANS, requests, chunk=3)
+    sizes = loans.groupBy(F.date_format("issue_d", "yyyy-MM").alias("m")).count().orderBy("m").collect()
+    expected, start = [], 0
+    for month, n in sizes:
+        chunks = -(-n // 3)
+        expected.append((month, n, chunks, min(n, 3), start, start + chunks - 1))
+        start += chunks
+    assert start > 8
+    for files in (4, 1000):
+        table = live.ledger(str(tmp_path / f"ledger-{files}")).create(spark)
+        lines = scoring.body_stream(spark, requests, files_per_batch=files)
+        progress = str(tmp_path / f"progress-{files}")
+        scoring.record_arrivals(lines, table, progress).awaitTermination()
+        found = live.arrivals(spark, table).groupBy("month").agg(
+            F.sum("n_rows"), F.count("*"), F.max("n_rows"), F.min("arrival"), F.max("arrival"))
+        assert numbers(found) == expected
+        assert table.by_batch(spark).select("batch_id").distinct().count() == -(-start // files)

@@ -8,9 +8,8 @@ may also end a word. The Viterbi path of least cost, model and channel together,
 or several. A logistic regression over
 words and word beginnings of the text and its restored words gives the score.
 
-The model of spellings counts all texts. The regression is fitted on at most ``EXAMPLES`` labelled
-texts of such documents, chosen by hashes of id and text among those the caller lets it learn from
-(rows alike in both count once); its features are
+The model of spellings counts all texts. The regression is fitted on the labelled texts of all documents
+that the caller lets it learn from (rows alike in id and text count once); its features are
 the ``FEATURES`` that differ most between the classes there, by ``SIGNIFICANT`` deviations at least.
 
 Defined cases: null and empty texts get the score of a text without any known feature; a document
@@ -28,14 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duecourse.llm.common import example_texts, stored
-from duecourse.llm.lettering import Weights, features_of, logistic
+from duecourse.llm.common import hinted, stored
+from duecourse.llm.lettering import Weights, features_of
 from duecourse.llm.shingles import pieces
 
-EXAMPLES = 8_000
 FEATURES = 600
 #: Standard deviations that a feature's shares in the two classes must lie apart.
 SIGNIFICANT = 4.0
@@ -211,7 +211,6 @@ def fitted(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    examples: int = EXAMPLES,
     features: int = FEATURES,
 ) -> Model:
     """The model. ``may_learn`` is a condition on the key column, named ``key``."""
@@ -221,14 +220,21 @@ def fitted(
         .filter(F.col("key").isNotNull() & F.col("y").isNotNull() & may_learn)
         .groupBy("key").agg(F.max("y").alias("y"))
     )
-    n = marked.count()
-    if n > examples:
-        share = int(2**20 * examples / n)
-        marked = marked.filter(F.pmod(F.xxhash64("key"), F.lit(2**20)) < share)
-    marked = stored(marked, "examples")  # about ``examples`` rows at most
+    marked = hinted(stored(marked, "examples"))
     told = docs.sparkSession.sparkContext.broadcast(spelling.costs)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marked, "key")
+    # Rows alike in id and text count once: each of n for the nth part. Texts are not shuffled for that.
+    rows = rows.withColumn("id", F.xxhash64("key", "text"))
+    alike = hinted(stored(rows.groupBy("id").agg(F.count("*").alias("copies")).filter("copies > 1"), "alike"))
+    part = (1 / F.coalesce("copies", F.lit(1))).alias("part")
+    rows = rows.join(alike, "id", "left").select(F.col("y").cast("double").alias("y"), part, "text")
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("part").alias("n")).collect()}
+    if len(size) < 2:
+        share = 0.0 if not size.get(1) else 1.0
+        return Model(spelling, np.zeros(0, np.uint64), np.zeros(0), math.log((share + 1e-3) / (1 - share + 1e-3)))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of either class that have a feature, summed over a batch."""
         known: dict[str, str] = {}
         spelling = Spelling(told.value)
         for batch in batches:
@@ -237,36 +243,48 @@ def fitted(
                 np.union1d(a, b)
                 for a, b in zip(features_of(column), features_of(_repaired(column, spelling, known)), strict=True)
             ]
+            y, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found, at = np.unique(np.concatenate([*both, np.zeros(0, np.uint64)]), return_inverse=True)
+            of = np.repeat(np.arange(len(both)), [len(x) for x in both])
+            sums = [np.bincount(at, (part * c)[of], minlength=len(found)).astype(float) for c in (y, 1 - y)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x.view(np.int64) for x in both], pa.list_(pa.int64()))],
-                names=["id", "y", "has"],
+                [pa.array(found.view(np.int64)), *map(pa.array, sums)], names=["feature", "ones", "zeros"]
             )
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key")
-    sample = stored(
-        example_texts(rows, examples).select("id", "y", "text").mapInArrow(read, "id long, y int, has array<long>"),
-        "read",
-    )
-    size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(size) < 2:
-        share = 0.0 if not size.get(1) else 1.0
-        return Model(spelling, np.zeros(0, np.uint64), np.zeros(0), math.log((share + 1e-3) / (1 - share + 1e-3)))
-    ones, zeros = F.sum("y"), F.sum(1 - F.col("y"))
+    ones, zeros = F.col("ones"), F.col("zeros")
     share = (ones + zeros) / (size[1] + size[0])
     spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / size[1] + 1 / size[0]))
     chosen = (
-        sample.select("y", F.explode("has").alias("feature"))
-        .groupBy("feature").agg((F.abs(ones / size[1] - zeros / size[0]) / spread).alias("gap"))
+        rows.mapInArrow(count, "feature long, ones double, zeros double")
+        .groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+        .select("feature", (F.abs(ones / size[1] - zeros / size[0]) / spread).alias("gap"))
         .filter(F.col("gap") >= SIGNIFICANT).orderBy(F.desc("gap"), "feature").limit(features).select("feature")
     )
-    kept = np.sort(chosen.toPandas()["feature"].to_numpy(dtype=np.int64))
-    few = F.array(*(F.lit(int(k)) for k in kept)) if len(kept) else F.array().cast("array<bigint>")
-    table = sample.select("y", F.array_intersect("has", few).alias("has")).toPandas()
-    x = np.zeros((len(table), len(kept)))
-    for i, has in enumerate(table["has"]):
-        x[i, np.searchsorted(kept, np.asarray(has, dtype=np.int64))] = 1
-    w = logistic(x, table["y"].to_numpy(dtype=float), ridge=RIDGE)
-    return Model(spelling, kept.view(np.uint64), w[:-1], float(w[-1]))
+    kept = np.sort(chosen.toPandas()["feature"].to_numpy(dtype=np.int64).view(np.uint64))
+    if not len(kept):
+        return Model(spelling, kept, np.zeros(0), math.log(size[1] / size[0]))
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of the chosen features that each text has."""
+        known: dict[str, str] = {}
+        spelling, weights = Spelling(told.value), Weights(kept, np.zeros(len(kept)))
+        for batch in batches:
+            column = batch.column(2)
+            found = [weights.present(c) for c in (column, _repaired(column, spelling, known))]
+            pairs = np.unique(np.concatenate([of * len(kept) + at for of, at in found]))
+            ends = np.searchsorted(pairs // len(kept), np.arange(len(column) + 1))
+            has = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs % len(kept)).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), has], names=["y", "part", "has"])
+
+    # Texts of one class with the same features are one weighted row.
+    seen = rows.mapInArrow(see, "y double, part double, has array<string>").groupBy("y", "has").agg(F.sum("part").alias("n"))
+    places = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(kept))], "has", "x", binary=True)
+    regression = LogisticRegression(
+        featuresCol="x", labelCol="y", weightCol="n", regParam=RIDGE / (size[0] + size[1]), standardization=False,
+        maxIter=200, tol=1e-10,
+    )
+    fit = regression.fit(places.transform(stored(seen, "read")))
+    return Model(spelling, kept, fit.coefficients.toArray(), fit.intercept)
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

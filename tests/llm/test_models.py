@@ -262,6 +262,32 @@ def test_restored_words_and_scores(spark, make, awkward, no_rows):
     assert toxicity.scored(awkward, blank).filter("score >= 0.5").count() == 0
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """Ten thousand labelled texts without a telling word: the constant is the log-odds of all of them."""
+    keys = spark.range(12_500).select(F.col("id").alias("doc_id"))
+    docs = keys.withColumn("text", F.lit("same words here")).unionAll(keys.limit(40).withColumn("text", F.lit("same words here")))
+    marks = keys.withColumn("toxic", (F.xxhash64("doc_id") % 5 == 0).cast("int"))
+    model = toxicity.fitted(docs, marks, learnable(F.col("key")))
+    counts = marks.filter(learnable(F.col("doc_id"))).groupBy("toxic").count().collect()
+    n = {r["toxic"]: r["count"] for r in counts}
+    assert n[0] + n[1] > 9_500
+    assert abs(model.constant - np.log(n[1] / n[0])) < 1e-9
+
+
+def test_weighted_patterns_fit_as_single_rows_do(spark, make):
+    """The distributed fit against Newton steps over a plain matrix of the same features."""
+    rows, labels = toxic_rows(random.Random(18))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fitted(make(rows + rows[:90]), marks, F.lit(True))
+    shown = pa.array([t for _, t in rows], pa.large_string())
+    x = np.zeros((len(rows), len(model.features)))
+    of, at = toxicity.Weights(model.features, model.weights).present(shown)
+    x[of, at] = 1
+    plain = logistic(x, np.array([bad for *_, bad in labels], dtype=float), ridge=toxicity.RIDGE)
+    assert len(model.features) >= 4
+    assert np.abs(np.append(model.weights, model.constant) - plain).max() < 1e-3
+
+
 def test_spaced_words_beside_single_letters(spark, make):
     rng = random.Random(18)
     rows, labels = toxic_rows(rng)

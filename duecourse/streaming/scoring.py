@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from duecourse.operators import drift, ordering, scoring
 from duecourse.operators import requests as R
 from duecourse.registry import EVENT_DATE, KEY, SCORE, Registry
-from duecourse.session import stored
+from duecourse.session import forget, stored
 from duecourse.streaming.live import LiveTable
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -80,9 +80,13 @@ def count_bins(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        counts = drift.bin_counts(drift.monitored(batch, registry), edges, registry, ["month"])
+        # Stored, as several aggregates read it: the requests of a batch are parsed once.
+        rows = stored(drift.monitored(batch, registry), "batch-rows")
+        counts = drift.bin_counts(rows, listed, registry, ["month"])
         counts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        forget(rows)
 
+    listed = stored(edges, "edges")  # a row a feature, which every batch reads
     return _each_batch(served, write, checkpoint)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duecourse.operators import drift, ordering
 from duecourse.registry import LOANS
-from duecourse.session import stored
+from duecourse.session import path_of, stored
 from duecourse.streaming import live, scoring
 from duecourse.streaming.live import LiveTable
 
@@ -89,3 +89,24 @@ def test_ledger_tells_chunks_whatever_the_batches(spark, random_loans, tmp_path)
             F.sum("n_rows"), F.count("*"), F.max("n_rows"), F.min("arrival"), F.max("arrival"))
         assert numbers(found) == expected
         assert table.by_batch(spark).select("batch_id").distinct().count() == -(-start // files)
+
+
+def test_a_streamed_batch_is_parsed_once(spark, random_loans, tmp_path, monkeypatch):
+    """The counters read a stored batch and stored edges, and count what the batch job does."""
+    loans = stored(random_loans(60, 11).withColumns({"pd": F.lit(0.2), "decision": F.lit("approve")}), "logged")
+    rows = drift.monitored(loans, LOANS)
+    edges = stored(drift.reference_edges(rows, LOANS).filter("feature IN ('purpose', 'dti')"), "edges")
+    count, read = drift.bin_counts, []
+
+    def watched(rows, edges, registry, keep):
+        read.append((path_of(rows), path_of(edges)))
+        return count(rows, edges, registry, keep)
+
+    monkeypatch.setattr(drift, "bin_counts", watched)
+    stream = spark.readStream.schema(loans.schema).parquet(path_of(loans))
+    counts = str(tmp_path / "counts")
+    scoring.count_bins(stream, edges, LOANS, counts, str(tmp_path / "progress")).awaitTermination()
+    assert len(read) == 1
+    shown = ("month", "feature", F.coalesce("bin", F.lit("?")), "n")
+    expected = count(stored(rows, "rows"), edges, LOANS, ["month"])
+    assert numbers(scoring.counted_bins(spark, counts).select(*shown)) == numbers(expected.select(*shown))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from duecourse.catalog.core import SETTINGS, Inputs, add_view, query, sql_between
 from duecourse.config import TreeSettings, windows_for
+from duecourse.operators import clean as C
 from duecourse.operators import economics as E
 from duecourse.operators import metrics as M
 from duecourse.operators import scoring as S
@@ -28,7 +29,8 @@ _FITTED: dict[str, tuple] = {}
 
 
 def tables(t):
-    return stored(t.loans, "loans"), stored(t.aux, "aux")
+    """Loans and their auxiliary rows, derived and typed in one pass over the given tables."""
+    return C.clean_once(t.raw, [(SETTINGS.population, True)], STANDIN)[0]
 
 
 def fitted(t):

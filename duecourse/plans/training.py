@@ -21,7 +21,7 @@ from duecourse.operators import metrics as M
 from duecourse.operators.features import FeatureStage, Vocabulary, VocabularyModel, category_code
 from duecourse.operators.isotonic import isotonic_blocks
 from duecourse.operators.joins import join_one_to_one
-from duecourse.plans.trees import RAW, Calibration, TreeEnsemble, nodes_of, prefix_losses
+from duecourse.plans.trees import RAW, Calibration, TreeEnsemble, nodes_of
 from duecourse.registry import KEY, LABEL, SCORE, Registry
 from duecourse.session import stored
 
@@ -97,8 +97,8 @@ def best_iteration(losses: list[float], patience: int, min_gain: float = 0.0) ->
 def fit_trees(train: DataFrame, val: DataFrame, s: TreeSettings) -> tuple[TreeEnsemble, list[float]]:
     """The ensemble of least validation loss, and the loss after each tree up to where it was given up.
 
-    One fit gives the ensembles of all shorter lengths; their losses come from one pass over the
-    validation rows, and the best one is the fit's first trees. Only if the loss has not stopped
+    One fit gives the ensembles of all shorter lengths; their losses come from one pass of Spark's own
+    model over the validation rows (it counts log loss twice), and the best one is the fit's first trees. Only if the loss has not stopped
     falling at the end of a fit is a longer one made.
     """
     size = min(s.max_trees, max(FIRST_FIT, 2 * s.patience))
@@ -108,8 +108,9 @@ def fit_trees(train: DataFrame, val: DataFrame, s: TreeSettings) -> tuple[TreeEn
             minInstancesPerNode=s.min_per_leaf, subsamplingRate=s.row_share,
             featureSubsetStrategy=s.column_share, seed=s.seed, checkpointInterval=20,
         )
-        whole = TreeEnsemble.of(nodes_of(trees.fit(train), train.sparkSession))
-        losses = prefix_losses(whole, val)
+        boosted = trees.fit(train)
+        whole = TreeEnsemble.of(nodes_of(boosted, train.sparkSession))
+        losses = [loss / 2 for loss in boosted.evaluateEachIteration(val)]
         best = best_iteration(losses, s.patience, s.min_gain)
         if best + s.patience <= size or size == s.max_trees:
             return whole.cut(best), losses[: best + s.patience]

@@ -46,7 +46,7 @@ def fitted(t):
 def _fit(t: Inputs):
     loans, aux = tables(t)
     model, val = T.fit_policy_model(
-        loans, aux, SETTINGS.splits, SETTINGS.population, CHECKED, STANDIN, "standin"
+        loans, T.priced(loans, aux), SETTINGS.splits, SETTINGS.population, CHECKED, STANDIN, "standin"
     )
     test = loans.filter(SETTINGS.splits["test"].contains(F.col("issue_d")))
     money = E.with_exposure(aux).select("id", E.FUNDED, E.INTEREST, "int_rate", "grade")
@@ -248,11 +248,11 @@ add_view(
 
 def backtest_rows(t, loans, aux):
     """Rows of all (model, window) pairs with every model's score, from one scan of the loans."""
-    money = stored(E.with_exposure(aux.select("id", "installment", "funded_amnt")), "money")
+    money = T.priced(loans, aux)
 
     def fit(date):
         splits = windows_for(date, R)[1]
-        return T.fit_policy_model(loans, aux, splits, SETTINGS.population, CHECKED, STANDIN, "standin")[0]
+        return T.fit_policy_model(loans, money, splits, SETTINGS.population, CHECKED, STANDIN, "standin")[0]
 
     # Fits of different dates do not need each other; most of their time is spent starting small jobs.
     with ThreadPoolExecutor(len(R.backtest_as_of)) as pool:

@@ -22,7 +22,7 @@ from duecourse.operators.features import FeatureStage, Vocabulary, VocabularyMod
 from duecourse.operators.isotonic import isotonic_blocks
 from duecourse.operators.joins import join_one_to_one
 from duecourse.plans.trees import RAW, Calibration, TreeEnsemble, nodes_of
-from duecourse.registry import KEY, LABEL, SCORE, Registry
+from duecourse.registry import EVENT_DATE, KEY, LABEL, SCORE, Registry
 from duecourse.session import stored
 
 #: Trees of the first fit; if patience has not ended by then, the next one has twice as many.
@@ -161,7 +161,7 @@ class PolicyModel:
             value = codes.get(name, F.col(name)).cast("double")
             made |= {f"{name}_filled": F.coalesce(value, F.lit(fill)), f"{name}_missing": value.isNull().cast("double")}
         raw = self.trees.probability(F.array(*(made[name] for name in self.inputs())))
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), self.calibration.calibrated(raw)))
+        return clipped(self.calibration.calibrated(raw))
 
     def policy(self) -> dict:
         return {
@@ -174,8 +174,7 @@ class PolicyModel:
     def score(self, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         """``keep..., raw_pd, pd``."""
         scored = self.pipeline.transform(df)
-        clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(SCORE)))
-        return scored.select(*keep, RAW, clipped.alias(SCORE))
+        return scored.select(*keep, RAW, clipped(F.col(SCORE)).alias(SCORE))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/model")
@@ -193,30 +192,40 @@ class PolicyModel:
         )
 
 
+def priced(loans: DataFrame, aux: DataFrame) -> DataFrame:
+    """Outcome, issue date, auxiliary columns and amounts at stake of each loan, as a written table."""
+    both = join_one_to_one(loans.select(KEY, EVENT_DATE, LABEL), aux, KEY, "funded_amnt")
+    return stored(E.with_exposure(both), "money")
+
+
+def clipped(score: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
 def fit_policy_model(
-    loans: DataFrame, aux: DataFrame, splits: dict, population: Population, trees: TreeSettings,
+    loans: DataFrame, money: DataFrame, splits: dict, population: Population, trees: TreeSettings,
     registry: Registry, name: str,
 ) -> tuple[PolicyModel, DataFrame]:
-    """Cost model and inputs from train, calibration and threshold from val. Returns the model
-    and the scored validation loans."""
-    issue = F.col("issue_d")
+    """Cost model and inputs from train, calibration and threshold from val. ``money`` is what
+    :func:`priced` gives, which models of several dates share. Returns the model and the scored
+    validation loans."""
+    issue = F.col(EVENT_DATE)
     train, val = (loans.filter(splits[s].contains(issue)) for s in ("train", "val"))
-    money = stored(
-        E.with_exposure(join_one_to_one(loans.select(KEY, LABEL), aux, KEY, "funded_amnt")), "money"
-    )
-    train_money = money.join(train.select(KEY), KEY, "left_semi")
-    economics = E.estimate(train_money, population.term_months)
+    economics = E.estimate(money.filter(splits["train"].contains(issue)), population.term_months)
 
     stages = input_stages(train, registry, name)
     train_rows = training_rows(run_stages(stages, train), "train")
     val_rows = training_rows(run_stages(stages, val), "val")
     fitted, losses = fit_trees(train_rows, val_rows, trees)
-    calibration = fit_calibration(fitted.transform(val_rows))
+    # Stored, as the calibration and the scored rows both read it: the trees go over the rows once.
+    outcomes = money.filter(splits["val"].contains(issue)).select(KEY, LABEL, E.FUNDED, E.INTEREST)
+    raw_scored = stored(fitted.transform(val_rows).select(KEY, RAW).join(outcomes, KEY), "val-raw")
+    calibration = fit_calibration(raw_scored)
     pipeline = PipelineModel([*stages, fitted, calibration])
     model = PolicyModel(pipeline, economics, 0.0, list(registry.model_features), losses)
 
-    amounts = money.select(KEY, E.FUNDED, E.INTEREST)
-    val_scored = stored(model.score(val, (KEY, LABEL)).join(amounts, KEY), "val-scored")
+    scored = calibration.transform(raw_scored).withColumn(SCORE, clipped(F.col(SCORE)))
+    val_scored = stored(scored.select(KEY, LABEL, RAW, SCORE, E.FUNDED, E.INTEREST), "val-scored")
     curve = E.cost_curve(val_scored, economics, tuple(threshold_grid()))
     model.threshold = E.best_threshold(curve).first()["threshold"]
     return model, val_scored
